@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .leaks import find_leaks
 from .together import pairs_together
 
 
@@ -24,6 +25,14 @@ def p1_odds(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p8_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items")).distinct()
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_tiles(spark, folder).where("longest >= 30 and 2 * longest >= item_chars").select("doc_id", "item_id").distinct()
+
+
 _P1 = r"""
 WITH m AS (SELECT DISTINCT project_id p, bidder_id b FROM audit_records
            WHERE record_type IN ('bid', 'quote') AND regexp_matches(project_id, '\S') AND regexp_matches(bidder_id, '\S')),
@@ -33,7 +42,7 @@ WITH m AS (SELECT DISTINCT project_id p, bidder_id b FROM audit_records
      f AS (SELECT c.a, c.b, c.n AS n_ab, ga.n AS n_a, gb.n AS n_b, t.n AS n_baskets
            FROM c JOIN g ga ON ga.b = c.a JOIN g gb ON gb.b = c.b, t WHERE c.n >= 5 AND c.n * t.n >= 4 * ga.n * gb.n)
 """
-QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds}
+QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p8_found": p8_found, "p8_tiles": p8_tiles}
 ORACLE = {
     "p1_found": _P1 + "SELECT a AS bidder_id_a, b AS bidder_id_b FROM f",
     "p1_odds": _P1
