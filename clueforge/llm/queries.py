@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .leaks import find_leaks
+from .spans import shared_share, shared_spans
 from .together import pairs_together
 
 
@@ -25,6 +26,24 @@ def p1_odds(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _text_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
+    zero = F.lit(0).cast("bigint")
+    return [
+        table(spark, folder, "documents").select("doc_id", zero.alias("part"), "text"),
+        table(spark, folder, "pages").select("doc_id", F.col("page_number").cast("bigint").alias("part"), F.col("cleaned_text").alias("text")),
+    ]
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents, pages = (shared_spans(t, 120) for t in _text_tables(spark, folder))
+    return documents.unionAll(pages).withColumnRenamed("part", "page_number")
+
+
+def p2_share(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _text_tables(spark, folder)[0]
+    return shared_share(documents, shared_spans(documents, 120)).drop("part")
+
+
 def p8_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items")).distinct()
 
@@ -42,7 +61,7 @@ WITH m AS (SELECT DISTINCT project_id p, bidder_id b FROM audit_records
      f AS (SELECT c.a, c.b, c.n AS n_ab, ga.n AS n_a, gb.n AS n_b, t.n AS n_baskets
            FROM c JOIN g ga ON ga.b = c.a JOIN g gb ON gb.b = c.b, t WHERE c.n >= 5 AND c.n * t.n >= 4 * ga.n * gb.n)
 """
-QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p8_found": p8_found, "p8_tiles": p8_tiles}
+QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p2_found": p2_found, "p2_share": p2_share, "p8_found": p8_found, "p8_tiles": p8_tiles}
 ORACLE = {
     "p1_found": _P1 + "SELECT a AS bidder_id_a, b AS bidder_id_b FROM f",
     "p1_odds": _P1
