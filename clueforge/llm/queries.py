@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .leaks import find_leaks
+from .mixing import mix, shares
 from .spans import shared_share, shared_spans
+from .splitting import split_texts
 from .together import pairs_together
 
 
@@ -52,6 +54,18 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_tiles(spark, folder).where("longest >= 30 and 2 * longest >= item_chars").select("doc_id", "item_id").distinct()
 
 
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return shares(p9_mix(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_texts(table(spark, folder, "documents"), table(spark, folder, "split_limits"))
+
+
 _P1 = r"""
 WITH m AS (SELECT DISTINCT project_id p, bidder_id b FROM audit_records
            WHERE record_type IN ('bid', 'quote') AND regexp_matches(project_id, '\S') AND regexp_matches(bidder_id, '\S')),
@@ -61,7 +75,7 @@ WITH m AS (SELECT DISTINCT project_id p, bidder_id b FROM audit_records
      f AS (SELECT c.a, c.b, c.n AS n_ab, ga.n AS n_a, gb.n AS n_b, t.n AS n_baskets
            FROM c JOIN g ga ON ga.b = c.a JOIN g gb ON gb.b = c.b, t WHERE c.n >= 5 AND c.n * t.n >= 4 * ga.n * gb.n)
 """
-QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p2_found": p2_found, "p2_share": p2_share, "p8_found": p8_found, "p8_tiles": p8_tiles}
+QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p2_found": p2_found, "p2_share": p2_share, "p8_found": p8_found, "p8_tiles": p8_tiles, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 ORACLE = {
     "p1_found": _P1 + "SELECT a AS bidder_id_a, b AS bidder_id_b FROM f",
     "p1_odds": _P1
