@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -47,6 +48,14 @@ def durable(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if(written: DataFrame, units: int, most: int) -> DataFrame:
+    """written marked for broadcast where its counted size (rows, or whatever units counts) is within most.
+
+    Beyond that it is returned unmarked, and the planner joins it by sorted or hashed partitions.
+    """
+    return F.broadcast(written) if units <= most else written
+
+
 def purge() -> None:
     """Delete the tables written by durable(); results that still read them become invalid."""
     while _written:
