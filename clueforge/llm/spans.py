@@ -10,12 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import broadcast_if, durable
 from .codepoints import inside, points, sliding, window_hashes
 
 ROW = ["doc_id", "part", "v"]
 _TOP = np.uint64(2**64 - 1)
 BATCH_CHARS = 2_000_000
+#: Longs (16 MB) up to which the repeated marks and their places are sent to all tasks; beyond, both joins shuffle.
+MOST_SENT = 2_000_000
 
 
 def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
@@ -131,9 +133,11 @@ def shared_spans(texts: DataFrame, least: int = 120) -> DataFrame:
     """
     rows = texts.where(F.col("doc_id").isNotNull() & (F.char_length("text") >= least)).select("doc_id", "part", F.xxhash64("text").alias("v"), "text")
     marks = rows.mapInArrow(_marks(least), "doc_id bigint, part bigint, v bigint, at int, mark bigint")
-    found = marks.join(_elsewhere(marks, "mark"), "mark", "left_semi")
-    places = durable(found.groupBy(*ROW).agg(F.collect_set("at").alias("ats")), "marks")
-    windows = rows.join(places, ROW).select(*ROW, "text", "ats")
+    repeated = durable(_elsewhere(marks, "mark"), "marks")
+    found = marks.join(broadcast_if(repeated, repeated.count(), MOST_SENT), "mark", "left_semi")
+    places = durable(found.groupBy(*ROW).agg(F.collect_set("at").alias("ats")), "places")
+    held = places.agg(F.sum(F.size("ats") + 4)).first()[0] or 0
+    windows = rows.join(broadcast_if(places, held, MOST_SENT), ROW).select(*ROW, "text", "ats")
     windows = windows.mapInArrow(_windows(least), "doc_id bigint, part bigint, v bigint, at int, w bigint")
     hits = windows.join(_elsewhere(windows, "w"), "w", "left_semi")
     return (
