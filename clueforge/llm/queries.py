@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .leaks import find_leaks
 from .mixing import mix, shares
+from .pii import personal_spans, redact_texts
 from .spans import shared_share, shared_spans
 from .splitting import split_texts
 from .together import pairs_together
@@ -46,6 +47,15 @@ def p2_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(documents, shared_spans(documents, 120)).drop("part")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_spans(table(spark, folder, "documents")).drop("value").distinct()
+
+
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    key = spark.conf.get("clueforge.pii.key", "for tests only").encode()
+    return redact_texts(table(spark, folder, "documents").select("doc_id", "text"), key)
+
+
 def p8_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items")).distinct()
 
@@ -75,7 +85,7 @@ WITH m AS (SELECT DISTINCT project_id p, bidder_id b FROM audit_records
      f AS (SELECT c.a, c.b, c.n AS n_ab, ga.n AS n_a, gb.n AS n_b, t.n AS n_baskets
            FROM c JOIN g ga ON ga.b = c.a JOIN g gb ON gb.b = c.b, t WHERE c.n >= 5 AND c.n * t.n >= 4 * ga.n * gb.n)
 """
-QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p2_found": p2_found, "p2_share": p2_share, "p8_found": p8_found, "p8_tiles": p8_tiles, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p2_found": p2_found, "p2_share": p2_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p8_found": p8_found, "p8_tiles": p8_tiles, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 ORACLE = {
     "p1_found": _P1 + "SELECT a AS bidder_id_a, b AS bidder_id_b FROM f",
     "p1_odds": _P1
