@@ -9,6 +9,7 @@ from ..session import table
 from .addresses import pairs_of, same_places
 from .leaks import find_leaks
 from .mixing import mix, shares
+from .names import link_names, linked_pairs
 from .pii import personal_spans, redact_texts
 from .spans import shared_share, shared_spans
 from .splitting import split_texts
@@ -65,6 +66,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs_of(p5_places(spark, folder))
 
 
+def p6_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return link_names(table(spark, folder, "audit_records"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return linked_pairs(p6_labels(spark, folder))
+
+
 def p8_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items")).distinct()
 
@@ -94,7 +103,7 @@ WITH m AS (SELECT DISTINCT project_id p, bidder_id b FROM audit_records
      f AS (SELECT c.a, c.b, c.n AS n_ab, ga.n AS n_a, gb.n AS n_b, t.n AS n_baskets
            FROM c JOIN g ga ON ga.b = c.a JOIN g gb ON gb.b = c.b, t WHERE c.n >= 5 AND c.n * t.n >= 4 * ga.n * gb.n)
 """
-QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p2_found": p2_found, "p2_share": p2_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_places": p5_places, "p8_found": p8_found, "p8_tiles": p8_tiles, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p2_found": p2_found, "p2_share": p2_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_places": p5_places, "p6_found": p6_found, "p6_labels": p6_labels, "p8_found": p8_found, "p8_tiles": p8_tiles, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 ORACLE = {
     "p1_found": _P1 + "SELECT a AS bidder_id_a, b AS bidder_id_b FROM f",
     "p1_odds": _P1
