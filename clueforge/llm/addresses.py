@@ -224,14 +224,13 @@ def usual_names(block: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def assign_places(block: pd.DataFrame) -> pd.DataFrame:
-    """Places within one (city, number, kind): the district and road spellings that mean the same road.
+def place_heads(rows: list[tuple]) -> list[str]:
+    """For each (district, name, latin, n, usual) of one city, number and kind a label of its road.
 
     Spellings of one district are joined where they share a deletion form and differ by one character at most;
     Latin spellings where the letters agree. A spelling without a district is then assigned to the one road it fits
     best: an equal name before a mistyped one, the more frequent road before the rarer. Different districts never join.
     """
-    rows = list(block[["district", "name", "latin", "n", "usual"]].itertuples(index=False, name=None))
     union, index = _Union(len(rows)), defaultdict(list)
     for i, (_, name, latin, _, usual) in enumerate(rows):
         if latin:
@@ -267,9 +266,25 @@ def assign_places(block: pd.DataFrame) -> pd.DataFrame:
             for j in near[i]:
                 if not rows[j][0] and not any(rows[k][0] for k in near[j]):
                     union.join(i, j)
-    heads = {i: min(rows[k][1] + "|" + (rows[k][0] or "") for k in range(len(rows)) if union.find(k) == union.find(i)) for i in range(len(rows))}
-    out = block[["city", "district", "name", "kind", "number", "latin"]].copy()
-    out["road"] = [heads[i] for i in range(len(rows))]
+    heads: dict[int, str] = {}
+    for i, r in enumerate(rows):
+        root, label = union.find(i), r[1] + "|" + (r[0] or "")
+        heads[root] = min(heads.get(root, label), label)
+    return [heads[union.find(i)] for i in range(len(rows))]
+
+
+def assign_places(group: pd.DataFrame) -> pd.DataFrame:
+    """group with the column road: place_heads of each city, number and kind in it."""
+    blocks = defaultdict(list)
+    for i, key in enumerate(zip(group["city"], group["number"], group["kind"])):
+        blocks[key].append(i)
+    rows = list(group[["district", "name", "latin", "n", "usual"]].itertuples(index=False, name=None))
+    road = [""] * len(rows)
+    for members in blocks.values():
+        for i, head in zip(members, place_heads([rows[i] for i in members])):
+            road[i] = head
+    out = group[["city", "district", "name", "kind", "number", "latin"]].copy()
+    out["road"] = road
     return out
 
 
@@ -283,7 +298,8 @@ def same_places(records: DataFrame, key: str = "record_id", extra: str = "extra"
 
     Each distinct address text is parsed once, so a text that a third of all rows share costs one parse. The names of
     provinces, cities and districts come from the fully written addresses of all data; they are administrative units, whose
-    number doesn't grow with the rows. Blocks for the assignment hold distinct spellings, not records.
+    number doesn't grow with the rows. Groups for the assignment (a city and a 64th of the house numbers) hold distinct
+    spellings, not records.
     """
     texts = (
         records.select(F.col(key).alias("__key"), F.explode(extra).alias("k", "raw"))
@@ -293,17 +309,18 @@ def same_places(records: DataFrame, key: str = "record_id", extra: str = "extra"
     )
     texts = durable(texts, "address-texts")
     counted = texts.groupBy("raw").agg(F.count("*").alias("n"))
-    full = counted.select("raw").mapInArrow(_full_names, "province string, city string, district string")
+    spread = counted.select("raw").repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "raw")
+    full = spread.mapInArrow(_full_names, "province string, city string, district string")
     names = full.groupBy("province", "city", "district").agg(F.count("*").alias("n"))
     listed = [tuple(r) for r in names.where("n > 1").collect()] or [tuple(r) for r in names.collect()]
-    parsed = durable(counted.select("raw").mapInArrow(_parse(Gazetteer(listed)), _PARSED), "addresses")
+    parsed = durable(spread.mapInArrow(_parse(Gazetteer(listed)), _PARSED), "addresses")
     parts = parsed.where("city is not null").withColumn("district", F.coalesce("district", F.lit("")))
     spellings = parts.join(counted, "raw").groupBy("city", "district", "name", "kind", "number", "latin").agg(F.sum("n").alias("n"))
     roads = spellings.groupBy("city", "district", "name", "kind", "latin").agg(F.sum("n").alias("n"))
     usual = roads.groupBy("city", "kind").applyInPandas(usual_names, "city string, district string, name string, kind string, latin boolean, usual string")
     spellings = spellings.join(usual, ["city", "district", "name", "kind", "latin"])
     schema = "city string, district string, name string, kind string, number int, latin boolean, road string"
-    places = durable(spellings.groupBy("city", "number", "kind").applyInPandas(assign_places, schema), "places")
+    places = durable(spellings.groupBy("city", F.pmod("number", F.lit(64))).applyInPandas(assign_places, schema), "places")
     on = ["city", "district", "name", "kind", "number", "latin"]
     return texts.join(parts, "raw").join(places, on).select(F.col("__key").alias(key), "city", "road", "kind", "number").distinct()
 
