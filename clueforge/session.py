@@ -56,6 +56,11 @@ def broadcast_if(written: DataFrame, units: int, most: int) -> DataFrame:
     return F.broadcast(written) if units <= most else written
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all shuffle partitions by keys, before work that costs far more than its input's bytes suggest."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def purge() -> None:
     """Delete the tables written by durable(); results that still read them become invalid."""
     while _written:
