@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,12 +67,29 @@ def copies(documents: DataFrame) -> DataFrame:
     return keyed.join(first, ["project_id", "key"]).select("project_id", "doc_id", "representative")
 
 
+def _count_grams(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, grams, counts = [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                cp = np.frombuffer(text.as_py().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                packed = sum((cp[k : len(cp) - n + 1 + k] << (21 * (n - 1 - k)) for k in range(n)), np.int64(0))
+                code, count = np.unique(packed, return_counts=True)
+                ids.append(np.full(len(code), doc_id, np.int64))
+                grams.append(code)
+                counts.append(count)
+            columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (ids, grams, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["doc_id", "gram", "tf"])
+
+    return run
+
+
 def gram_counts(documents: DataFrame, n: int = 3) -> DataFrame:
-    """(doc_id, gram, tf): character n-grams of the text without white space."""
-    chars = F.split(compact(F.col("text")), "")
-    held = documents.where("text is not null").select("doc_id", F.filter(chars, lambda ch: ch != "").alias("chars")).where(F.size("chars") >= n)
-    grams = F.transform(F.sequence(F.lit(0), F.size("chars") - n), lambda i: F.concat(*[F.col("chars")[i + k] for k in range(n)]))
-    return held.select("doc_id", F.explode(grams).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("tf"))
+    """(doc_id, gram, tf): character n-grams (n up to 3) of the text without white space, packed exactly as 21 bits a character.
+
+    A text is counted where it lies; arrays do in one pass what an exploded column would shuffle."""
+    held = documents.where("text is not null").select("doc_id", compact(F.col("text")).alias("t")).where(F.char_length("t") >= n)
+    return held.mapInArrow(_count_grams(n), "doc_id bigint, gram bigint, tf bigint")
 
 
 def weighted(counts: DataFrame) -> DataFrame:
@@ -84,18 +105,21 @@ def similar_documents(documents: DataFrame, threshold: float = 0.75) -> DataFram
     """(project_id, doc_a, doc_b, similarity) of representatives of equal texts in one project, from the threshold on.
 
     Exact, without looking at all pairs: with grams ordered from rare to frequent, a document is indexed under its rare
-    grams only, as many as leave less than `threshold` of its length to the rest; two documents that share none of
-    those can't reach the threshold. Candidates alone are verified with their whole vectors.
+    grams only, as many as leave less than 0.8 `threshold` of its length to the rest. Grams outside both indexes can add
+    less than that to a similarity, so pairs whose indexed grams give less than what then lacks can't reach the
+    threshold. The others are verified with their whole vectors.
     """
     first = copies(documents).where("doc_id = representative").select("project_id", "doc_id")
     texts = documents.select("doc_id", "text").join(first.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = spread(texts, "doc_id")
     vectors = durable(weighted(durable(gram_counts(texts), "grams")), "vectors")
+    tail = 0.8 * threshold
     w = Window.partitionBy("doc_id").orderBy(F.col("df").desc(), F.col("gram").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    index = vectors.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(w)).where((F.col("rest") >= threshold * threshold - 1e-9) & (F.col("df") > 1))
-    keyed = index.select("doc_id", "gram").join(first, "doc_id")
-    a, b = (keyed.select("project_id", "gram", F.col("doc_id").alias(f"doc_{s}")) for s in "ab")
-    candidates = a.join(b, ["project_id", "gram"]).where("doc_a < doc_b").select("project_id", "doc_a", "doc_b").distinct()
+    index = vectors.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(w)).where((F.col("rest") >= tail * tail - 1e-9) & (F.col("df") > 1))
+    keyed = index.select("doc_id", "gram", "w").join(first, "doc_id")
+    a, b = (keyed.select("project_id", "gram", F.col("doc_id").alias(f"doc_{s}"), F.col("w").alias(f"w_{s}")) for s in "ab")
+    part = a.join(b, ["project_id", "gram"]).where("doc_a < doc_b").groupBy("project_id", "doc_a", "doc_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("part"))
+    candidates = part.where(F.col("part") >= threshold - tail - 1e-9).drop("part")
     va, vb = (vectors.select(F.col("doc_id").alias(f"doc_{s}"), "gram", F.col("w").alias(f"w_{s}")) for s in "ab")
     dot = candidates.join(va, "doc_a").join(vb, ["doc_b", "gram"]).groupBy("project_id", "doc_a", "doc_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("similarity"))
     return dot.where(F.col("similarity") >= threshold)
