@@ -82,9 +82,9 @@ def plain_address(raw: str) -> str:
     s = re.sub(r"\((?:近|靠近|原|旧|内|院内)[^)]*\)", "", s)
     brackets = re.findall(r"\(([^)]*[一-鿿][^)]*)\)", s)
     s = re.sub(r"\([^)]*\)", "", s).strip()
-    if re.match(r"^(?:中国)?(?:门牌)?(?:[Nn][Oo]\. ?)?[\d" + _NUMERAL + r"]+(?:号|#|[ -]|,|[A-Z]座|\d+栋)", s) and "," in s:
+    if "," in s:
         tokens = [re.sub("^中国", "", t).strip() for t in s.split(",")]
-        at = next((k for k, t in enumerate(tokens) if _ENDS_ROAD.search(t)), None)
+        at = next((k for k, t in enumerate(tokens) if _ENDS_ROAD.search(t) and re.search(rf"[\d{_NUMERAL}]", tokens[0])), None)
         if at:  # number and room, road, then ever larger units
             s = "".join(reversed(tokens[at:])) + "-".join(tokens[:at])
     s = re.sub(r"(?<=[一-鿿])[\s,、/-]+(?=[一-鿿]|No|NO|门牌|#|\d)", "", s)

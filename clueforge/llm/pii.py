@@ -38,7 +38,7 @@ PERSONS = [
     (re.compile(rf"(?:请与|会上|由|经|请|向|随|和|与)({_CN})(?=工程师|经理|先生|女士|复核|老师|主任|教授|处长|科长|同志)"), False),
     (re.compile(rf"({_CN})(?=先生收|女士收|（收）|\(收\)|收[。，；\s])"), False),
     (re.compile(rf"(?:^|[\s。；;，,|！？）)])({_CN}){_PHONE_NEXT}", re.M), False),
-    (re.compile(rf"({_CN})[\t|](?=[(（+＋]?\d[\d -]{{6}})"), False),
+    (re.compile(rf"({_CN})[\t|](?=[(（+＋]?\d[\d ()（）-]{{6}})"), False),
     (re.compile(rf"\b(?:Mr|Ms|Mrs|Miss|Dr|Prof)\.? ?({_LATIN})"), False),
     (re.compile(rf"(?:Contact|Attn|Name|Signed by|Prepared by|ask for|belongs to|signed by|prepared by|Dear):? ?({_LATIN})"), False),
     (re.compile(rf"({_LATIN})(?= (?:holds|approved|attended|signed|confirmed|reviewed|prepared) (?:the|this|a)\b)"), False),
