@@ -29,7 +29,7 @@ class SeedIndex:
         h, item, at = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (hashes, item, at))
         order = np.argsort(h, kind="stable")
         self.hashes, self.item, self.at = h[order], item[order], at[order]
-        bits = max(16, int(np.ceil(np.log2(len(h) + 1))) + 5)
+        bits = max(16, int(np.ceil(np.log2(len(h) + 1))) + 3)
         self.shift = np.uint64(64 - bits)
         self.seen = np.zeros(1 << bits, bool)
         self.seen[(self.hashes >> self.shift).astype(np.int64)] = True
