@@ -5,7 +5,7 @@ import pytest
 
 from . import twins
 
-MODULES = [importlib.import_module(f"clueforge.plans.{m}") for m in ("quotes", "links", "cooccurrence", "documents", "ingest", "model", "general")]
+MODULES = [importlib.import_module(f"clueforge.plans.{m}") for m in ("quotes", "links", "cooccurrence", "documents", "ingest", "model", "notices", "general")]
 PAIRS = {name: (module.QUERIES[name], sql) for module in MODULES for name, sql in getattr(module, "ORACLE", {}).items()}
 ROWS_ONLY = {name: query for module in MODULES for name, query in module.QUERIES.items() if name not in PAIRS}
 
