@@ -103,8 +103,38 @@ WITH m AS (SELECT DISTINCT project_id p, bidder_id b FROM audit_records
      f AS (SELECT c.a, c.b, c.n AS n_ab, ga.n AS n_a, gb.n AS n_b, t.n AS n_baskets
            FROM c JOIN g ga ON ga.b = c.a JOIN g gb ON gb.b = c.b, t WHERE c.n >= 5 AND c.n * t.n >= 4 * ga.n * gb.n)
 """
+_WIDE = "".join(chr(x) for x in range(0xFF01, 0xFF5F))
+_NARROW = "".join(chr(x - 0xFEE0) for x in range(0xFF01, 0xFF5F)).replace("'", "''")
+
+
+def _letters(column: str) -> str:
+    return rf"regexp_replace(lower(translate({column}, '{_WIDE}', '{_NARROW}')), '[^\p{{L}}\p{{Nd}}]', '', 'g')"
+
+
+_P8 = f"""
+WITH d AS (SELECT DISTINCT doc_id, {_letters("text")} AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+     i AS (SELECT item_id, t, CAST(greatest(30, ceil(length(t) / 2)) AS INT) AS need FROM (SELECT item_id, {_letters("item_text")} AS t FROM benchmark_items)),
+     iw AS (SELECT DISTINCT item_id, need, hash(substr(t, k, need)) AS h FROM (SELECT *, unnest(range(1, length(t) - need + 2)) AS k FROM i WHERE length(t) >= need)),
+     dw AS (SELECT doc_id, need, hash(substr(t, k, need)) AS h FROM (SELECT doc_id, t, need, unnest(range(1, length(t) - need + 2)) AS k
+            FROM d, (SELECT DISTINCT need FROM i) WHERE length(t) >= need))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (need, h)"""
+_P2 = """
+WITH x AS (SELECT DISTINCT 'd' AS s, doc_id, 0::BIGINT AS page_number, text FROM documents WHERE length(text) >= 120 AND doc_id IS NOT NULL
+           UNION SELECT 'p', doc_id, page_number::BIGINT, cleaned_text FROM pages WHERE length(cleaned_text) >= 120 AND doc_id IS NOT NULL),
+     w AS (SELECT s, doc_id, page_number, h, k FROM (SELECT s, doc_id, page_number, text, unnest(range(0, length(text) - 119)) AS k FROM x), LATERAL (SELECT hash(substr(text, k + 1, 120)) AS h)),
+     r AS (SELECT s, h FROM w GROUP BY ALL HAVING min(doc_id) <> max(doc_id)),
+     m AS (SELECT DISTINCT s, doc_id, page_number, k FROM w JOIN r USING (s, h)),
+     g AS (SELECT *, sum(CASE WHEN k <= prev + 120 THEN 0 ELSE 1 END) OVER (PARTITION BY s, doc_id, page_number ORDER BY k) AS run FROM (
+           SELECT *, lag(k) OVER (PARTITION BY s, doc_id, page_number ORDER BY k) AS prev FROM m)),
+     f AS (SELECT s, doc_id, page_number, min(k) AS start_pos, max(k) + 120 AS end_pos FROM g GROUP BY s, doc_id, page_number, run)
+"""
 QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p2_found": p2_found, "p2_share": p2_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_places": p5_places, "p6_found": p6_found, "p6_labels": p6_labels, "p8_found": p8_found, "p8_tiles": p8_tiles, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 ORACLE = {
+    "p2_found": _P2 + "SELECT doc_id, page_number, start_pos, end_pos FROM f",
+    "p2_share": _P2
+    + """SELECT doc_id, n_chars, coalesce(shared_chars, 0) AS shared_chars FROM (SELECT doc_id, sum(coalesce(length(text), 0))::BIGINT AS n_chars FROM (SELECT DISTINCT doc_id, text FROM documents) GROUP BY ALL)
+LEFT JOIN (SELECT doc_id, sum(end_pos - start_pos)::BIGINT AS shared_chars FROM f WHERE s = 'd' GROUP BY ALL) USING (doc_id)""",
+    "p8_found": _P8,
     "p1_found": _P1 + "SELECT a AS bidder_id_a, b AS bidder_id_b FROM f",
     "p1_odds": _P1
     + """SELECT a AS item_a, b AS item_b, n_ab, n_a, n_b, n_baskets, round(n_ab * n_baskets / (n_a * n_b), 6) AS lift,
