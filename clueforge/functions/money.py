@@ -40,10 +40,10 @@ CURRENCY_WORDS = r"元|圆|圓|块|yuan|cny|rmb|人民币|¥|￥"
 #: Financial numerals.
 DIGITS = "零壹贰叁肆伍陆柒捌玖"
 PLAIN_DIGITS = "〇一二三四五六七八九"
-_DEC = "decimal(38,8)"
-_NUMERALS = r"^(?:大写)?:?(?:人民币)?:?([零壹贰叁肆伍陆柒捌玖〇一二三四五六七八九两拾佰仟十百千万亿]+)(?:元|圆)(?:([零壹贰叁肆伍陆柒捌玖一二三四五六七八九])角)?(?:零?([壹贰叁肆伍陆柒捌玖一二三四五六七八九])分)?整?$"
-_SIMPLE = r"^(?:大写)?:?(人民币|rmb|cny|¥|￥)?:?(\d+(?:\.\d*)?(?:e[+-]?\d{1,2})?)\(?([a-z0-9千仟万萬百十亿億分角元圆圓块]*?)\)?(人民币|rmb|cny)?整?$"
-_MIXED = r"^(?:人民币|rmb|cny|¥|￥)?(?:(\d+(?:\.\d+)?)亿)?(?:(\d+(?:\.\d+)?)万)?(\d+(?:\.\d+)?)(?:元|圆)(?:(\d)角)?(?:(\d)分)?整?$"
+_DEC = "decimal(30,12)"
+NUMERALS = r"^(?:大写)?:?(?:人民币)?:?([零壹贰叁肆伍陆柒捌玖〇一二三四五六七八九两拾佰仟十百千万亿]+)(?:元|圆)(?:([零壹贰叁肆伍陆柒捌玖一二三四五六七八九])角)?(?:零?([壹贰叁肆伍陆柒捌玖一二三四五六七八九])分)?整?$"
+SIMPLE = r"^(?:大写)?:?(人民币|rmb|cny|¥|￥)?:?(\d+(?:\.\d*)?(?:e[+-]?\d{1,2})?)\(?([a-z0-9千仟万萬百十亿億分角元圆圓块]*?)\)?(人民币|rmb|cny)?整?$"
+MIXED = r"^(?:人民币|rmb|cny|¥|￥)?(?:(\d+(?:\.\d+)?)亿)?(?:(\d+(?:\.\d+)?)万)?(\d+(?:\.\d+)?)(?:元|圆)(?:(\d)角)?(?:(\d)分)?整?$"
 
 
 def compact(c: Column) -> Column:
@@ -101,9 +101,9 @@ def with_sum(df: DataFrame, text: str, number: str, factor: str) -> DataFrame:
     s, p = F.col("__s"), F.col("__p")
     tenth, hundredth, one = (F.lit(x).cast(_DEC) for x in ("0.1", "0.01", "1"))
     fields = (
-        F.when(s.rlike(_MIXED), F.regexp_replace(s, _MIXED, "mixed|$1|$2|$3|$4|$5"))
-        .when(s.rlike(_SIMPLE), F.regexp_replace(s, _SIMPLE, "simple|$2|$1$3$4"))
-        .when(s.rlike(r"[拾佰仟万亿元圆]") & s.rlike(_NUMERALS), F.regexp_replace(s, _NUMERALS, "numerals|$1|$2|$3"))
+        F.when(s.rlike(MIXED), F.regexp_replace(s, MIXED, "mixed|$1|$2|$3|$4|$5"))
+        .when(s.rlike(SIMPLE), F.regexp_replace(s, SIMPLE, "simple|$2|$1$3$4"))
+        .when(s.rlike(r"[拾佰仟万亿元圆]") & s.rlike(NUMERALS), F.regexp_replace(s, NUMERALS, "numerals|$1|$2|$3"))
     )
     staged = df.withColumn("__s", compact(F.col(text))).withColumn("__p", F.split(fields, r"\|"))
     staged = staged.withColumn("__u", F.when(p[0] == "simple", scale_of(F.get(p, 2))))

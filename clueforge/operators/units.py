@@ -148,8 +148,8 @@ def to_common_unit(records: DataFrame, key: str = "record_id") -> DataFrame:
         & F.col("s.day").between(F.col("m.first_day"), F.col("m.last_day")),
         "left",
     ).select("s.*", F.coalesce("m.shift", F.lit(0)).alias("shift"))
-    factor = F.when(F.col("stated"), F.col("factor")).otherwise(F.pow(F.lit(10.0), -F.col("shift").cast("double")).cast("decimal(20,8)"))
-    fen: Column = F.round(F.col("number") * factor.cast("decimal(20,4)") * 100, 0)
+    factor = F.when(F.col("stated"), F.col("factor")).otherwise(F.pow(F.lit(10.0), -F.col("shift").cast("double")).cast("decimal(24,10)"))
+    fen: Column = F.round(F.col("number") * factor.cast("decimal(24,10)") * 100, 0)
     return joined.select(
         key, "field_name", "raw", "number", "factor", "shift", "cny", F.when(F.col("cny") & (F.col("number") > 0), fen.cast("bigint")).alias("value_fen")
     )

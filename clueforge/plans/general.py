@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.instants import normalise_times
 from ..operators.units import to_common_unit, typed_sums, unit_changes
 from ..session import table
+from .general_sql import P3, P7
 
 TIME_FIELDS = ["event_time", "created_at", "modified_at", "uploaded_at"]
 
@@ -28,3 +29,4 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_unit_changes": p3_unit_changes, "p7_found": p7_found}
+ORACLE = {"p3_found": P3, "p7_found": P7}

@@ -19,7 +19,7 @@ def row(i, amount=None, unit=None, currency="CNY", extra=None, control=None, sou
     "text, number, factor",
     [
         ("12.5", "12.5", None), ("１２．５万元", "12.5", "10000"), ("136万8351元", "1368351", "1"), ("RMB 1,461,000元", "1461000", "1"), ("¥1,412,650", "1412650", "1"),
-        ("95.5 k CNY", "95.5", "1000"), ("2.5 million yuan", "2.5", "1000000"), ("0.02825945亿元", "0.02825945", "100000000"), ("3.09E5", "309000", None), ("94.8（万元）", "94.8", "10000"),
+        ("95.5 k CNY", "95.5", "1000"), ("2.5 million yuan", "2.5", "1000000"), ("0.02825945亿元", "0.02825945", "100000000"), ("3.09E5", "309000", None), ("0.0040686016亿", "0.0040686016", "100000000"), ("94.8（万元）", "94.8", "10000"),
         ("人民币壹佰陆拾贰万叁仟柒佰贰拾玖元伍角壹分", "1623729.51", "1"), ("大写：肆佰零柒万零玖佰柒拾柒元零肆分", "4070977.04", "1"), ("拾万元整", "100000", "1"), ("9万元整", "9", "10000"),
         ("待定", None, None), ("-5", None, None), ("下浮9.9%", None, None), ("壹批", None, None), ("", None, None), (None, None, None), ("5 apples", None, None),
     ],
@@ -48,12 +48,12 @@ def test_precedence_and_cases_left_out(spark):
     rows = [
         row("own", "2万元", "千元"), row("unit", "2", "千元", extra={"备注": "金额单位：万元"}), row("extra", "2", " ", extra={"备注": "金额单位：万元"}), row("yuan", "2", None), row("fen", "250", "分"),
         row("no-money", "2", "折"), row("own-beats-odd-unit", "2元", "批"), row("usd", "2", "元", "USD"), row("lower", "2", "元", "cny"), row("blank-currency", "2", "元", " "), row("null-currency", "2", "元", None),
-        row("zero", "0", "元"), row("control", None, "万元", control="3"), row("nothing"), row("no-time", "5", None, at=None, source=None),
+        row("zero", "0", "元"), row("fine", "0.0040686016", "亿"), row("control", None, "万元", control="3"), row("nothing"), row("no-time", "5", None, at=None, source=None),
     ]
     out = to_common_unit(spark.createDataFrame(rows, SCHEMA))
     found = {(r["record_id"], r["field_name"]): r["value_fen"] for r in out.where("value_fen is not null").collect()}
     assert found == {
-        ("own", "amount"): 2_000_000, ("unit", "amount"): 200_000, ("extra", "amount"): 2_000_000, ("yuan", "amount"): 200, ("fen", "amount"): 250, ("own-beats-odd-unit", "amount"): 200,
+        ("own", "amount"): 2_000_000, ("unit", "amount"): 200_000, ("fine", "amount"): 40_686_016, ("extra", "amount"): 2_000_000, ("yuan", "amount"): 200, ("fen", "amount"): 250, ("own-beats-odd-unit", "amount"): 200,
         ("lower", "amount"): 200, ("blank-currency", "amount"): 200, ("null-currency", "amount"): 200, ("control", "control_amount"): 3_000_000, ("no-time", "amount"): 500,
     }
     assert to_common_unit(spark.createDataFrame([], SCHEMA)).count() == 0
