@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,19 @@ SLACK, LEAST_BODY = 3, 8
 _SHAPE = "doc_id bigint, n_tokens int, classes string, at array<int>"
 
 
+_SENTENCE, _CLAUSE, _CLOSER, _SPACE, _NEWLINE, _BLANK = 1, 2, 4, 8, 16, 32
+
+
+@functools.lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """What each code point can be at a boundary, as bits."""
+    out = np.zeros(0x110000, np.uint8)
+    for bit, chars in ((_SENTENCE, SENTENCE), (_CLAUSE, CLAUSE), (_CLOSER, CLOSERS), (_SPACE, " \t\n\r　"), (_NEWLINE, "\n\r"), (_BLANK, " \t　")):
+        for ch in chars:
+            out[ord(ch)] |= bit
+    return out
+
+
 def boundary_classes(text: str, path: str = VOCABULARY) -> tuple[bytes, np.ndarray]:
     """(one letter a token, character position before each token and at the end).
 
@@ -36,16 +50,16 @@ def boundary_classes(text: str, path: str = VOCABULARY) -> tuple[bytes, np.ndarr
     pos = before[ends]
     last = cp[np.maximum(pos - 1, 0)]
     following = np.append(cp, 10)[pos]
-    one_of = lambda x, chars: np.isin(x, [ord(ch) for ch in chars])
-    space_after, newline = one_of(following, " \t\n\r　"), one_of(last, "\n\r")
-    sentence = (one_of(last, SENTENCE) | ((last == 46) & space_after)) & ~one_of(following, CLOSERS)
-    sentence |= one_of(last, CLOSERS) & one_of(cp[np.maximum(pos - 2, 0)], SENTENCE)
-    wide, wide_next = last > 0x2E7F, following > 0x2E7F
+    kinds = _kinds()
+    ended, second, ahead = kinds[last], kinds[cp[np.maximum(pos - 2, 0)]], kinds[following]
+    space_after = (ahead & _SPACE) > 0
+    sentence = (((ended & _SENTENCE) > 0) | ((last == 46) & space_after)) & ((ahead & _CLOSER) == 0)
+    sentence |= ((ended & _CLOSER) > 0) & ((second & _SENTENCE) > 0)
     out = np.full(len(tokens), ord("x"), np.uint8)
-    out[one_of(last, " \t　") | space_after | (wide != wide_next)] = ord("w")
-    out[one_of(last, CLAUSE)] = ord("c")
+    out[((ended & _BLANK) > 0) | space_after | ((last > 0x2E7F) != (following > 0x2E7F))] = ord("w")
+    out[(ended & _CLAUSE) > 0] = ord("c")
     out[sentence] = ord("s")
-    out[newline & ~one_of(following, "\n\r")] = ord("p")
+    out[((ended & _NEWLINE) > 0) & ((ahead & _NEWLINE) == 0)] = ord("p")
     out[~whole] = ord("n")
     return out.tobytes(), np.concatenate([[0], pos]).astype(np.int32)
 
