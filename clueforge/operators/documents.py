@@ -101,6 +101,12 @@ def weighted(counts: DataFrame) -> DataFrame:
     return raw.join(norm, "doc_id").select("doc_id", "gram", "df", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def _vectors(documents: DataFrame, first: DataFrame) -> DataFrame:
+    texts = documents.select("doc_id", "text").join(first.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = spread(texts, "doc_id")
+    return durable(weighted(durable(gram_counts(texts), "grams")), "vectors")
+
+
 def similar_documents(documents: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(project_id, doc_a, doc_b, similarity) of representatives of equal texts in one project, from the threshold on.
 
@@ -110,9 +116,7 @@ def similar_documents(documents: DataFrame, threshold: float = 0.75) -> DataFram
     threshold. The others are verified with their whole vectors.
     """
     first = copies(documents).where("doc_id = representative").select("project_id", "doc_id")
-    texts = documents.select("doc_id", "text").join(first.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = spread(texts, "doc_id")
-    vectors = durable(weighted(durable(gram_counts(texts), "grams")), "vectors")
+    vectors = _vectors(documents, first)
     tail = 0.8 * threshold
     w = Window.partitionBy("doc_id").orderBy(F.col("df").desc(), F.col("gram").desc()).rowsBetween(Window.unboundedPreceding, 0)
     index = vectors.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(w)).where((F.col("rest") >= tail * tail - 1e-9) & (F.col("df") > 1))
@@ -125,6 +129,21 @@ def similar_documents(documents: DataFrame, threshold: float = 0.75) -> DataFram
     return dot.where(F.col("similarity") >= threshold)
 
 
+def all_similarities(documents: DataFrame) -> DataFrame:
+    """(project_id, doc_a, doc_b, similarity), doc_a before doc_b, of every two documents of a project that have a gram in
+    common, equal texts included. No threshold: a group of n texts costs n(n-1)/2 sums."""
+    copy = durable(copies(documents), "copies")
+    first = copy.where("doc_id = representative").select("project_id", "doc_id")
+    vectors = _vectors(documents, first)
+    keyed = vectors.where("df > 1").join(first, "doc_id")
+    a, b = (keyed.select("project_id", "gram", F.col("doc_id").alias(f"rep_{s}"), F.col("w").alias(f"w_{s}")) for s in "ab")
+    met = a.join(b, ["project_id", "gram"]).where("rep_a < rep_b").groupBy("project_id", "rep_a", "rep_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("similarity"))
+    itself = first.join(vectors.select("doc_id").distinct(), "doc_id").select("project_id", F.col("doc_id").alias("rep_a"), F.col("doc_id").alias("rep_b"), F.lit(1.0).alias("similarity"))
+    x, y = (copy.select("project_id", F.col("representative").alias(f"rep_{s}"), F.col("doc_id").alias(f"of_{s}")) for s in "ab")
+    out = met.unionByName(itself).join(x, ["project_id", "rep_a"]).join(y, ["project_id", "rep_b"]).where("rep_a < rep_b or of_a < of_b")
+    return out.select("project_id", F.least("of_a", "of_b").alias("doc_a"), F.greatest("of_a", "of_b").alias("doc_b"), "similarity")
+
+
 def windows(documents: DataFrame) -> DataFrame:
     """(doc_id, segment, start): windows of SEGMENT characters every STRIDE that hold 12 different characters and a letter."""
     held = spread(documents.select("doc_id", "text"), "doc_id").where("text is not null").select("doc_id", F.split(compact(F.col("text")), "").alias("c")).where(F.size("c") >= SEGMENT)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parse import present
 from ..operators import documents as o
 from ..operators import links as k
 from ..operators import model as m
@@ -22,21 +23,26 @@ def _matrix(spark: SparkSession, folder: str) -> DataFrame:
     return durable(m.pair_matrix(k.link_instances(k.link_rows(records)), q.signal_instances(rows), pairs_in(rows)), "matrix")
 
 
-def fitted(spark: SparkSession, folder: str) -> DataFrame:
-    return m.fit(_matrix(spark, folder)).withColumns({c: F.round(c, 6) for c in ("median", "scale")})
+def _whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The matrix with its document features, over the pairs of bidders that quote or have documents in one project."""
+    records, docs = table(spark, folder, "audit_records"), table(spark, folder, "documents")
+    rows = q.quote_rows(records)
+    held = docs.where(present(F.col("project_id")) & present(F.col("bidder_id")))
+    pairs = pairs_in(rows).unionByName(pairs_in(held)).distinct()
+    linked, quoted = durable(k.link_instances(k.link_rows(records)), "linked"), durable(q.signal_instances(rows), "quoted")
+    return durable(m.pair_matrix(linked, quoted, pairs, durable(m.document_features(docs), "documents")), "matrix")
 
 
-def scores(spark: SparkSession, folder: str) -> DataFrame:
-    matrix = _matrix(spark, folder)
-    return m.score(matrix, m.fit(matrix), m.PAIR)
+def fitted(matrix: DataFrame) -> DataFrame:
+    return m.fit(matrix).withColumns({c: F.round(c, 6) for c in ("median", "scale")})
 
 
-def limit(spark: SparkSession, folder: str) -> DataFrame:
-    return m.threshold(scores(spark, folder))
+def scores(matrix: DataFrame) -> DataFrame:
+    return m.score(matrix, m.fit(matrix), m.PAIR)
 
 
 def benchmark(spark: SparkSession, folder: str) -> DataFrame:
-    return m.benchmark(_matrix(spark, folder)).groupBy("split", "transform", "label").agg(F.count("*").alias("rows"), F.round(F.sum("similarity"), 6).alias("similarity"))
+    return m.benchmark(_whole(spark, folder)).groupBy("split", "transform", "label").agg(F.count("*").alias("rows"), F.round(F.sum("similarity"), 6).alias("similarity"))
 
 
 def graph_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,12 +59,16 @@ def categories(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "model_matrix": _matrix,
-    "model_fit": fitted,
-    "model_scores": scores,
-    "model_threshold": limit,
-    "model_cross_validation": lambda s, d: m.cross_validate(_matrix(s, d)),
+    "model_fit": lambda s, d: fitted(_matrix(s, d)),
+    "model_scores": lambda s, d: scores(_matrix(s, d)),
+    "model_threshold": lambda s, d: m.threshold(scores(_matrix(s, d))),
+    "model_whole_matrix": _whole,
+    "model_whole_fit": lambda s, d: fitted(_whole(s, d)),
+    "model_whole_scores": lambda s, d: scores(_whole(s, d)),
+    "model_whole_threshold": lambda s, d: m.threshold(scores(_whole(s, d))),
+    "model_cross_validation": lambda s, d: m.cross_validate(_whole(s, d)),
     "model_benchmark": benchmark,
-    "model_evaluation": lambda s, d: m.evaluate(_matrix(s, d)),
+    "model_evaluation": lambda s, d: m.evaluate(_whole(s, d)),
     "report_project_prices": lambda s, d: r.project_prices(q.clean(q.totals(q.quote_rows(table(s, d, "audit_records"))))),
     "report_repeated_authors": lambda s, d: r.repeated_authors(table(s, d, "audit_records")),
     "report_categories": categories,
