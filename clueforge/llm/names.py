@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..session import durable
 from .addresses import deletions, within_one
 
@@ -207,7 +208,7 @@ def link_names(records: DataFrame, most: int = 64) -> DataFrame:
     nickname and initial of persons; one typed error in the brand or a name) and the forms are joined for equality.
     Ids with a registration code (the smallest of several) are organisations of their own: two of them never join, which
     is the exact check. An id without one gets the label of its best form, if that is one label only; then ids that only
-    resemble such a variant follow it; the rest join one another where a whole name is equal.
+    resemble such a variant follow it; the rest join one another where a whole name is equal, and chains of such ids are one.
 
     Blank ids and names count for nothing, null alias lists are empty, rows repeated at will count once, an id without
     any usable name is its own label, an empty table gives an empty result, other columns don't matter. Rows are reduced
@@ -231,7 +232,7 @@ def link_names(records: DataFrame, most: int = 64) -> DataFrame:
     second = durable(_best(open_, variants, known.unionByName(variants), most), "labels2")
     rest = open_.join(second, "id", "left_anti").where(F.col("kind").isin("full", "legal", "joined"))
     heads = rest.groupBy("form").agg(F.min("id").alias("head"), F.count_distinct("id").alias("n")).where("n > 1")
-    third = rest.join(heads, "form").groupBy("id").agg(F.min("head").alias("label")).where("id <> label")
+    third = connected_components(rest.join(heads, "form"), "id", "head").select("id", F.col("component").alias("label"))
     labels = first.unionAll(second).unionAll(third)
     return ids.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
