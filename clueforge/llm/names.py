@@ -128,7 +128,8 @@ def split_person(name: str) -> tuple[str, str] | None:
 
 
 def name_forms(name: str, towns: set[str]) -> set[tuple[str, str, str]]:
-    """(form, kind, body): every canonical rewriting of one typed name. body is what a typed error may be in."""
+    """(form, kind, body): every canonical rewriting of one typed name. body is what a typed error may be in, and for the
+    kinds in NEEDS_UNIQUE the part that the form leaves out, empty where the name has none."""
     s = plain_name(name)
     if re.search("[一-鿿]{2}", s):
         town, brand, trade, legal = split_company(re.sub(r"\s", "", s), towns)
@@ -136,9 +137,9 @@ def name_forms(name: str, towns: set[str]) -> set[tuple[str, str, str]]:
             return set()
         out = set()
         if trade:
-            out.add((f"C*|{brand}|{trade}", "no_town", ""))
+            out.add((f"C*|{brand}|{trade}", "no_town", town))
         if town:
-            out.add((f"C{town}|{brand}|*", "no_trade", ""))
+            out.add((f"C{town}|{brand}|*", "no_trade", trade))
         if trade and (town or legal):
             core = re.sub("责任|[()]", "", legal)
             out |= {(f"C{town}|{brand}|{trade}", "full", ""), (f"C{town}|{brand}|{trade}|{core}", "legal", "")}
@@ -150,7 +151,7 @@ def name_forms(name: str, towns: set[str]) -> set[tuple[str, str, str]]:
         brand, trade = company
         if len(brand) < 3:
             return set()
-        out = {(f"E{brand}|*", "no_trade", "")}
+        out = {(f"E{brand}|*", "no_trade", trade)}
         if trade:
             out |= {(f"E{brand}|{trade}", "full", "")} | {(f"E~{d}|{trade}", "typo", brand) for d in deletions(brand)}
         return out
@@ -162,7 +163,7 @@ def name_forms(name: str, towns: set[str]) -> set[tuple[str, str, str]]:
         first, last = person
         if len(first) == 1:
             return {(f"P{first}.|{last}", "initial", "")}
-        out |= {(f"P{first}{last}", "joined", ""), (f"P{last}{first}", "joined", ""), (f"P{first}|{last}", "full", ""), (f"P{first[0]}.|{last}", "initial", "")}
+        out |= {(f"P{first}{last}", "joined", ""), (f"P{last}{first}", "joined", ""), (f"P{first}|{last}", "full", ""), (f"P{first[0]}.|{last}", "initial", first)}
         out |= {(f"P~{d}|{last}", "typo", first) for d in deletions(first)} | {(f"P{first}|~{d}", "typo", last) for d in deletions(last)}
     return out
 
@@ -177,19 +178,26 @@ def _explode(towns: set[str]):
     return run
 
 
-def _best(unknown: DataFrame, known: DataFrame, labelled: DataFrame, most: int) -> DataFrame:
+def _best(unknown: DataFrame, known: DataFrame, labelled: DataFrame, most: int, own: bool = False) -> DataFrame:
     """(id, label) of each unknown id whose best rewriting belongs to one label only.
 
     How many labels share a form is counted over all that are labelled. A form that more than `most` share can't tell
     them apart and isn't joined; the score of a form is its weight less ten for each doubling of the labels that share it.
+    own: the unknown ids are themselves among the labels; none meets itself or counts for its own rarity, and two names
+    that both have the part a form leaves out need the same one, because neither is known to be a variant.
     """
-    rarity = labelled.groupBy("form").agg(F.count_distinct("label").alias("rarity")).where(F.col("rarity") <= most)
+    rarity = labelled.groupBy("form").agg((F.count_distinct("label") - int(own)).alias("rarity")).where(F.col("rarity").between(1, most))
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("u.kind"))
     other = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("k.kind"))
     near = (F.levenshtein("u.body", "k.body") <= 1) | (
         (F.length("u.body") == F.length("k.body")) & (F.array_sort(F.split("u.body", "")) == F.array_sort(F.split("k.body", "")))
     )
-    met = unknown.alias("u").join(known.join(rarity, "form").alias("k"), F.col("u.form") == F.col("k.form")).where(near)
+    met = unknown.alias("u").join(known.join(rarity, "form").alias("k"), F.col("u.form") == F.col("k.form"))
+    if own:
+        agree = (F.col("u.body") == "") | (F.col("k.body") == "") | (F.col("u.body") == F.col("k.body"))
+        met = met.where((F.col("u.id") != F.col("k.label")) & F.when(F.col("u.kind").isin(*NEEDS_UNIQUE), agree).otherwise(near))
+    else:
+        met = met.where(near | F.col("u.kind").isin(*NEEDS_UNIQUE))
     met = met.where(~F.col("u.kind").isin(*NEEDS_UNIQUE) | (F.col("rarity") == 1))
     scored = met.select(
         F.col("u.id").alias("id"), F.col("k.label").alias("label"), (F.least(weight, other) - 10 * F.log2(F.col("rarity").cast("double"))).alias("score")
@@ -208,7 +216,8 @@ def link_names(records: DataFrame, most: int = 64) -> DataFrame:
     nickname and initial of persons; one typed error in the brand or a name) and the forms are joined for equality.
     Ids with a registration code (the smallest of several) are organisations of their own: two of them never join, which
     is the exact check. An id without one gets the label of its best form, if that is one label only; then ids that only
-    resemble such a variant follow it; the rest join one another where a whole name is equal, and chains of such ids are one.
+    resemble such a variant follow it; the rest join one another where a whole name is equal or, by all forms, where the
+    best one leads to a single other of the rest; chains of such ids are one.
 
     Blank ids and names count for nothing, null alias lists are empty, rows repeated at will count once, an id without
     any usable name is its own label, an empty table gives an empty result, other columns don't matter. Rows are reduced
@@ -230,9 +239,16 @@ def link_names(records: DataFrame, most: int = 64) -> DataFrame:
     variants = unknown.join(first, "id")
     open_ = unknown.join(first, "id", "left_anti")
     second = durable(_best(open_, variants, known.unionByName(variants), most), "labels2")
-    rest = open_.join(second, "id", "left_anti").where(F.col("kind").isin("full", "legal", "joined"))
-    heads = rest.groupBy("form").agg(F.min("id").alias("head"), F.count_distinct("id").alias("n")).where("n > 1")
-    third = connected_components(rest.join(heads, "form"), "id", "head").select("id", F.col("component").alias("label"))
+    rest = open_.join(second, "id", "left_anti")
+    whole = rest.where(F.col("kind").isin("full", "legal", "joined"))
+    heads = whole.groupBy("form").agg(F.min("id").alias("head"), F.count_distinct("id").alias("n")).where("n > 1")
+    same = connected_components(whole.join(heads, "form"), "id", "head").select("id", F.col("component").alias("label"))
+    left = rest.join(same, "id", "left").select(F.coalesce("label", "id").alias("id"), "form", "kind", "body").distinct()
+    left = durable(left.withColumn("label", F.col("id")), "left")
+    others = known.unionByName(variants).unionByName(open_.join(second, "id")).select("label", "form", "kind", "body").distinct()
+    everyone = others.unionByName(left.drop("id"))
+    alike = _best(left, everyone, everyone, most, own=True).join(left.select("label").distinct(), "label", "left_semi")
+    third = connected_components(same.unionByName(alike), "id", "label").select("id", F.col("component").alias("label"))
     labels = first.unionAll(second).unionAll(third)
     return ids.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
