@@ -52,10 +52,12 @@ def pairs_together(baskets: DataFrame, basket: str, item: str, least: int = 5, l
     repeated rows count once, an empty table gives no pair, other columns don't matter.
 
     An item found less than `least` times, or in more than 1/lift of all baskets, can be in no such pair and is left
-    out first. Baskets up to `block` items emit their pairs as packed codes (rank of a, rank of b). Larger baskets never
-    emit theirs: there can be few of them in a basket table, so an item carries the list of those it is in, pairs
+    out first. Baskets up to `block` items emit their pairs as packed codes (rank of a, rank of b). Larger baskets don't
+    count theirs so: there can be few of them in a basket table, so an item carries the list of those it is in, pairs
     found elsewhere add the length of the lists' intersection, and a pair that only meets in large baskets must
     share `least` of them, hence one past the first least - 1 of both lists, which is where those pairs are looked for.
+    Only the first least - 1 large baskets of each item are spared: in a later one, the items for which it is later
+    emit all their pairs, before they are made distinct.
     """
     clean = baskets.where(F.col(basket).rlike(r"(?U)\S") & F.col(item).rlike(r"(?U)\S"))
     members = durable(clean.select(F.col(basket).cast("string").alias("basket"), F.col(item).cast("string").alias("item")).distinct(), "members")
