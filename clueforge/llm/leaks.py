@@ -1,156 +1,194 @@
-"""Evaluation texts inside training texts: greedy string tiling over shared seeds."""
+"""Evaluation texts inside training texts: seeds joined in Spark, then greedy string tiling by running Karp-Rabin."""
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-
-from .codepoints import inside, plain, points, window_hashes
-
-SEED = 15
+from pyspark.sql import functions as F
+
+from ..session import broadcast_if, durable
+from .codepoints import BASE, mix, plain, points
+from .spans import MOST_SENT, marks_of
+
+#: Characters of a seed and of the shortest tile; any common run of SURE characters holds a seed that both sides emit.
+SEED, SURE = 15, 20
+#: The filter of seeds has at most 2**MOST_BITS bits (8 MB), however many items there are; a full one only filters less.
+MOST_BITS = 26
+#: Items tiled beside one copy of a text.
+CHUNK = 64
+_SEEDS = "id bigint, v bigint, seed bigint"
 _TILES = "doc_id bigint, item_id bigint, item_chars int, longest int, covered int, tiles int"
 
 
-class SeedIndex:
-    """Seeds (hashes of all windows of SEED plain characters) of one block of test items."""
-
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids = ids
-        self.plain = [plain(points([t])[0])[0] for t in texts]
-        hashes, item, at = [], [], []
-        for i, p in enumerate(self.plain):
-            h = window_hashes(p, SEED)
-            hashes.append(h)
-            item.append(np.full(len(h), i, np.int32))
-            at.append(np.arange(len(h), dtype=np.int32))
-        h, item, at = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (hashes, item, at))
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.item, self.at = h[order], item[order], at[order]
-        bits = max(16, int(np.ceil(np.log2(len(h) + 1))) + 3)
-        self.shift = np.uint64(64 - bits)
-        self.seen = np.zeros(1 << bits, bool)
-        self.seen[(self.hashes >> self.shift).astype(np.int64)] = True
+class SeedFilter:
+    """A bit for the leading digits of each seed of the items: what it lacks, no item has."""
 
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
 
-def tile(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: the longest unmarked common runs first, each character of either side used once.
+    @staticmethod
+    def of(seeds: DataFrame, n: int) -> SeedFilter:
+        bits = min(max(16, math.ceil(math.log2(n + 1)) + 4), MOST_BITS)
+        word = F.shiftrightunsigned("seed", 70 - bits).cast("int").alias("word")
+        bit = F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits}) & 63L as int)))").alias("bit")
+        found = seeds.groupBy(word).agg(bit).toArrow()  # at most 2**(bits - 6) rows
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[found["word"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
+        return SeedFilter(words, bits)
 
-    seeds: (position in doc, position in item) of equal windows of SEED. Returns (doc start, item start, length).
-    """
-    runs = {}
-    for d, i in seeds:  # seeds on one diagonal that touch belong to one run
-        runs.setdefault(d - i, []).append(i)
-    matches = []
-    for diagonal, starts in runs.items():
-        starts.sort()
-        first = last = starts[0]
-        for s in [*starts[1:], None]:
-            if s is not None and s == last + 1:
-                last = s
-                continue
-            i, end = first, last + SEED
-            if np.array_equal(doc[i + diagonal : end + diagonal], item[i:end]):
-                matches.append((i + diagonal, i, end - i))
-            first = last = s
-    doc_used, item_used, tiles = set(), np.zeros(len(item), bool), []
-    queue = sorted(matches, key=lambda m: (-m[2], m[1], m[0]))
-    while queue:
-        d, i, n = queue.pop(0)
-        free = [k for k in range(n) if not item_used[i + k] and d + k not in doc_used]
-        if len(free) == n:
-            tiles.append((d, i, n))
-            item_used[i : i + n] = True
-            doc_used.update(range(d, d + n))
-            continue
-        rest, begin = [], None  # what a longer tile left of this run competes again
-        for k in [*free, None]:
-            if begin is None:
-                begin = prev = k
-            elif k is not None and k == prev + 1:
-                prev = k
-            else:
-                if begin is not None and prev - begin + 1 >= SEED:
-                    rest.append((d + begin, i + begin, prev - begin + 1))
-                begin = prev = k
-        if rest:
-            queue = sorted(queue + rest, key=lambda m: (-m[2], m[1], m[0]))
-    return tiles
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(64 - self.bits)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _search(index: SeedIndex):
+def _seeds(keep: SeedFilter | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                rows = list(_in_texts(index, ids, texts))
-                columns = zip(*rows) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), t) for c, t in zip(columns, [pa.int64(), pa.int64(), *[pa.int32()] * 4])],
-                    ["doc_id", "item_id", "item_chars", "longest", "covered", "tiles"],
-                )
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                raw, starts = points(part.column(2).to_pylist())
+                chars, kept = plain(raw)
+                starts = np.searchsorted(kept, starts)
+                at, h = marks_of(chars, starts, SURE, SEED)
+                if keep is not None:
+                    ok = keep.passes(h)
+                    at, h = at[ok], h[ok]
+                owner = np.searchsorted(starts, at, "right") - 1
+                once = np.unique(np.stack([owner.astype(np.int64), h.view(np.int64)]), axis=1)
+                rows = pa.array(once[0])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(once[1])], ["id", "v", "seed"])
 
     return run
 
 
-def _in_texts(index: SeedIndex, ids: list, texts: list[str]) -> Iterator[tuple]:
-    raw, starts = points(texts)
-    chars, kept = plain(raw)
-    starts = np.searchsorted(kept, starts)
-    h = window_hashes(chars, SEED)
-    if not len(h) or not len(index.hashes):
-        return
-    hit = np.flatnonzero(index.seen[(h >> index.shift).astype(np.int64)] & inside(starts, len(chars), SEED))
-    low, high = (np.searchsorted(index.hashes, h[hit], side) for side in ("left", "right"))
-    hit, low, high = hit[high > low], low[high > low], high[high > low]
-    owner = np.searchsorted(starts, hit, "right") - 1
-    seeds: dict[tuple[int, int], list] = {}
-    for p, d, a, b in zip(hit.tolist(), owner.tolist(), low.tolist(), high.tolist()):
-        for k in range(a, b):
-            seeds.setdefault((d, int(index.item[k])), []).append((p - int(starts[d]), int(index.at[k])))
-    for (d, i), found in seeds.items():
-        doc, item = chars[starts[d] : starts[d + 1]], index.plain[i]
-        runs = tile(doc, item, found)
-        if ids[d] is None or not runs:
-            continue
-        longest = max(_stretch(found).values())
-        yield ids[d], index.ids[i], len(item), longest, sum(n for _, _, n in runs), len(runs)
-
-
-def _stretch(seeds: list[tuple[int, int]]) -> dict:
-    """Length of the longest common run on each diagonal."""
-    out, previous, length = {}, None, 0
-    for diagonal, i in sorted((d - i, i) for d, i in seeds):
-        length = length + 1 if previous == (diagonal, i - 1) else SEED
-        previous = (diagonal, i)
-        out[diagonal] = max(out.get(diagonal, 0), length)
-    return out
-
-
-def find_leaks(documents: DataFrame, items: DataFrame, block: int = 20_000) -> DataFrame:
-    """(doc_id, item_id, item_chars, longest, covered, tiles) for each document and item that share a run of SEED.
+@functools.lru_cache(maxsize=8)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(BASE ** k, BASE ** -k) modulo 2**64 for k up to size."""
+    inverse = pow(BASE, -1, 1 << 64)
+    return tuple(np.array([1] + [b] * size, np.uint64).cumprod(dtype=np.uint64) for b in (BASE, inverse))
+
+
+class _Side:
+    """One text of a pair: hashes of its windows of any length in two operations, and which characters are marked."""
+
+    def __init__(self, chars: np.ndarray, jumps: np.ndarray | None = None):
+        up, self.down = _powers(1 << max(10, len(chars).bit_length()))
+        mixed = mix(chars.astype(np.uint64) + np.uint64(0x1234567)) * up[: len(chars)]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), mixed.cumsum(dtype=np.uint64)])
+        self.used = np.zeros(len(chars), bool)
+        self.jumps = np.concatenate([[0], np.cumsum(jumps if jumps is not None else self.used)])
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, hash) of the windows of n characters without a marked character or a jump inside."""
+        marked = np.concatenate([[0], np.cumsum(self.used)])
+        last = len(self.used) - n
+        if last < 0:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        at = np.flatnonzero((marked[n:] == marked[: last + 1]) & (self.jumps[n:] == self.jumps[1 : last + 2]))
+        return at, (self.sums[at + n] - self.sums[at]) * self.down[at]
+
+
+def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
+    """(doc start, item start, length) of the tiles, in the order in which they are marked.
+
+    The longest common run of unmarked characters is marked on both sides, again and again until none of `least` is left;
+    of equally long ones the first in the item, then in the document. Its length is searched with Karp-Rabin hashes of all
+    unmarked windows of one length after another, so repetitive texts cost no more than others, and every tile is
+    compared character by character. Only the document's stretches made of windows that the item has are looked at.
+    """
+    if min(len(doc), len(item)) < least:
+        return []
+    with np.errstate(over="ignore"):
+        right = _Side(item)
+        at, h = _Side(doc).windows(least)
+        touched = np.zeros(len(doc) + 1, np.int64)
+        hit = at[np.isin(h, right.windows(least)[1])]
+        np.add.at(touched, hit, 1)
+        np.add.at(touched, hit + least, -1)
+        keep = np.flatnonzero(np.cumsum(touched[:-1]) > 0)
+        left = _Side(doc[keep], np.concatenate([[0], np.diff(keep) > 1])[: len(keep)])
+        tiles, most = [], min(len(keep), len(item))
+        while most >= least:
+            met = functools.lru_cache(lambda n: len(np.intersect1d(left.windows(n)[1], right.windows(n)[1])) > 0)  # noqa: B023
+            if not met(least):
+                break
+            low, high = least, most + 1  # a common run of low, none of high
+            step = least
+            while low + step < high and met(low + step):
+                low, step = low + step, step * 2
+            high = min(high, low + step)
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if met(middle) else (low, middle)
+            (d_at, d_h), (i_at, i_h) = left.windows(low), right.windows(low)
+            i = int(i_at[np.isin(i_h, d_h)][0])
+            d = int(d_at[d_h == i_h[i_at == i][0]][0])
+            if np.array_equal(doc[keep[d : d + low]], item[i : i + low]):
+                tiles.append((int(keep[d]), i, low))
+                left.used[d : d + low] = right.used[i : i + low] = True
+                most = low
+            else:  # two windows of one hash
+                most = low - 1
+    return tiles
+
+
+def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
+    names = ["doc_id", "item_id", "item_chars", "longest", "covered", "tiles"]
+    for batch in batches:
+        rows = []
+        for doc_id, text, items in zip(batch.column(0), batch.column(1), batch.column(2)):
+            doc = plain(points([text.as_py()])[0])[0]
+            for item in items.as_py():
+                chars = plain(points([item["item_text"]])[0])[0]
+                if (tiles := greedy_tiles(doc, chars)) and tiles[0][2] >= SURE:
+                    rows.append((doc_id.as_py(), item["item_id"], len(chars), tiles[0][2], sum(n for _, _, n in tiles), len(tiles)))
+        columns = zip(*rows) if rows else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+
+
+def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, item_chars, longest, covered, tiles) for each document and item with a common run of SURE characters.
 
     Letter case, full- and half-width forms and all characters but letters and digits don't matter; lengths count
-    the remaining characters. longest is the longest unbroken common run, covered the item's characters under the
-    tiles, so passages in another order count too. The items are the stated query set: they are read in blocks of
-    at most `block` items, and each block's seeds go to all tasks, which search every character of every text; documents
-    are never shuffled. Null or empty texts and null ids give no row, equal documents or items one each, items shorter
-    than SEED none; an empty table gives an empty result; other columns don't matter.
+    the remaining characters. The tiles (of SEED characters and more) are those of greedy string tiling: longest is the
+    first, which is the longest unbroken common run, covered all of the item's characters under tiles, so passages in
+    another order count too.
+
+    Both sides give the seeds that are the smallest of their neighbourhood; a document gives only those that pass a filter
+    of fixed size made from the items'. Seeds are joined for equality, the pairs found get their texts back, and each
+    pair is tiled; a document with very many items is tiled in chunks of about CHUNK of them. Items and the pairs go to all
+    tasks only within a counted size. Null or empty texts and null ids give no row, equal documents or items one
+    each, items shorter than SURE none; an empty table gives an empty result; other columns don't matter.
     """
-    source = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    out, ids, texts = [], [], []
-    for row in items.select("item_id", "item_text").where("item_id is not null and item_text is not null").toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        if len(ids) == block:
-            out.append(source.mapInArrow(_search(SeedIndex(ids, texts)), _TILES))
-            ids, texts = [], []
-    if ids or not out:
-        out.append(source.mapInArrow(_search(SeedIndex(ids, texts)), _TILES))
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionAll(more)
-    return found
+    docs = documents.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("v"), "text")
+    asked = items.where("item_id is not null and item_text is not null").select("item_id", F.xxhash64("item_text").alias("iv"), "item_text").distinct()
+    asked = durable(asked, "items")
+    wanted = durable(asked.mapInArrow(_seeds(None), _SEEDS), "item-seeds")
+    n = wanted.count()
+    seeds = docs.mapInArrow(_seeds(SeedFilter.of(wanted, n)), _SEEDS).select(F.col("id").alias("doc_id"), "v", "seed")
+    by_seed = broadcast_if(wanted.select(F.col("id").alias("item_id"), F.col("v").alias("iv"), "seed"), 3 * n, MOST_SENT)
+    pairs = durable(seeds.join(by_seed, "seed").select("doc_id", "v", "item_id", "iv").distinct(), "seed-pairs")
+    chars = asked.agg(F.sum(F.char_length("item_text")).alias("n")).first()["n"] or 0
+    texts = broadcast_if(asked, chars, MOST_SENT)
+    many = pairs.groupBy("doc_id", "v").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("item_id", "iv"), F.col("chunks")).alias("chunk")
+    chunked = pairs.join(many, ["doc_id", "v"]).select("doc_id", "v", "item_id", "iv", chunk).join(texts, ["item_id", "iv"])
+    groups = durable(chunked.groupBy("doc_id", "v", "chunk").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items")), "seed-groups")
+    held = groups.agg(F.sum(F.expr("aggregate(items, 4L, (n, x) -> n + char_length(x.item_text))")).alias("n")).first()["n"] or 0
+    return docs.join(broadcast_if(groups, held, MOST_SENT), ["doc_id", "v"]).select("doc_id", "text", "items").mapInArrow(_tile, _TILES)
+
+
+def whole_runs(tiles: DataFrame) -> DataFrame:
+    """Rows of find_leaks with one tile of at least 30 characters and half of the item."""
+    return tiles.where("longest >= 30 and 2 * longest >= item_chars")
+
+
+def reordered(tiles: DataFrame) -> DataFrame:
+    """Rows of find_leaks with at least 30 characters and half of the item under tiles, though in no single one."""
+    return tiles.where("covered >= 30 and 2 * covered >= item_chars and not (longest >= 30 and 2 * longest >= item_chars)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .addresses import pairs_of, same_places
-from .leaks import find_leaks
+from .leaks import find_leaks, reordered, whole_runs
 from .mixing import mix, shares
 from .names import link_names, linked_pairs
 from .pii import personal_spans, redact_texts
@@ -79,7 +79,11 @@ def p8_tiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p8_tiles(spark, folder).where("longest >= 30 and 2 * longest >= item_chars").select("doc_id", "item_id").distinct()
+    return whole_runs(p8_tiles(spark, folder)).select("doc_id", "item_id").distinct()
+
+
+def p8_reordered(spark: SparkSession, folder: str) -> DataFrame:
+    return reordered(p8_tiles(spark, folder)).select("doc_id", "item_id", "item_chars", "longest", "covered", "tiles")
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +132,7 @@ WITH x AS (SELECT DISTINCT 'd' AS s, doc_id, 0::BIGINT AS page_number, text FROM
            SELECT *, lag(k) OVER (PARTITION BY s, doc_id, page_number ORDER BY k) AS prev FROM m)),
      f AS (SELECT s, doc_id, page_number, min(k) AS start_pos, max(k) + 120 AS end_pos FROM g GROUP BY s, doc_id, page_number, run)
 """
-QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p2_found": p2_found, "p2_share": p2_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_places": p5_places, "p6_found": p6_found, "p6_labels": p6_labels, "p8_found": p8_found, "p8_tiles": p8_tiles, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p2_found": p2_found, "p2_share": p2_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_places": p5_places, "p6_found": p6_found, "p6_labels": p6_labels, "p8_found": p8_found, "p8_tiles": p8_tiles, "p8_reordered": p8_reordered, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 ORACLE = {
     "p2_found": _P2 + "SELECT doc_id, page_number, start_pos, end_pos FROM f",
     "p2_share": _P2

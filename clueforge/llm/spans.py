@@ -38,12 +38,11 @@ def _take(part: pa.RecordBatch, owner: np.ndarray) -> list[pa.Array]:
     return [part.column(i).take(rows) for i in range(3)]
 
 
-def marks_of(chars: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the windows that are the smallest among least - width + 1 neighbours.
+def marks_of(chars: np.ndarray, starts: np.ndarray, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the windows of `width` that are the smallest among least - width + 1 neighbours.
 
     Any span of `least` characters holds at least one marked window, at the same place in every copy of the span.
     """
-    width = least // 2
     reach = least - width + 1
     h = window_hashes(chars, width)
     ok = inside(starts, len(chars), width)
@@ -61,7 +60,7 @@ def _marks(least: int):
         for batch in batches:
             for part in _slices(batch, 3):
                 chars, starts = points(part.column(3).to_pylist())
-                at, h = marks_of(chars, starts, least)
+                at, h = marks_of(chars, starts, least, least // 2)
                 owner = np.searchsorted(starts, at, "right") - 1
                 local = (at - starts[owner]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*_take(part, owner), pa.array(local), pa.array(h.view(np.int64))], [*ROW, "at", "mark"])

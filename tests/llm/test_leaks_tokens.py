@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from clueforge.llm.codepoints import inside, plain, points, sliding, window_hashes
-from clueforge.llm.leaks import SEED, find_leaks
+from clueforge.llm.leaks import SURE, find_leaks, greedy_tiles, reordered, whole_runs
 from clueforge.llm.mixing import compose, mix, pivot, plan_rates, shares
 from clueforge.llm.splitting import boundary_classes, split_texts
 from clueforge.llm.tokens import VOCABULARY, encode, with_token_counts
@@ -59,9 +59,9 @@ def test_leaks_equal_brute_force(spark):
     want = {}
     for (d, t), (i, x) in itertools.product(docs, items):
         n = longest_common(plainly(t or ""), plainly(x or ""))
-        if d is not None and i is not None and n >= SEED:
+        if d is not None and i is not None and n >= SURE:
             want[d, i] = max(n, want.get((d, i), 0))
-    found = find_leaks(df, spark.createDataFrame([(i, x, "clash") for i, x in items], ITEMS), block=4).collect()
+    found = find_leaks(df, spark.createDataFrame([(i, x, "clash") for i, x in items], ITEMS)).collect()
     got = {}
     for r in found:
         got[r["doc_id"], r["item_id"]] = max(r["longest"], got.get((r["doc_id"], r["item_id"]), 0))
@@ -71,6 +71,68 @@ def test_leaks_equal_brute_force(spark):
     assert all(r["covered"] <= r["item_chars"] for r in found)
 
 
+def tiles_by_hand(doc, item, least):
+    """Greedy string tiling with three loops."""
+    used_d, used_i, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                n = 0
+                while i + n < len(item) and d + n < len(doc) and item[i + n] == doc[d + n] and d + n not in used_d and i + n not in used_i:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, d)
+        n, i, d = best
+        if n < least:
+            return out
+        out.append((d, i, n))
+        used_d |= set(range(d, d + n))
+        used_i |= set(range(i, i + n))
+
+
+def test_greedy_tiles_equal_three_loops():
+    rnd = random.Random(5)
+    for case in range(60):
+        letters = "ab" if case % 3 else "abcdefgh"
+        item = "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 40)))
+        parts = [item[a : a + rnd.randrange(1, 20)] for a in (rnd.randrange(len(item)) for _ in range(rnd.randrange(4)))]
+        doc = "".join(rnd.choice(letters) * rnd.randrange(6) + p for p in [*parts, ""])
+        for least in (2, 4, 7):
+            got = greedy_tiles(*[np.array([ord(c) for c in x], np.uint32) for x in (doc, item)], least)
+            assert got == tiles_by_hand(doc, item, least), (doc, item, least)
+    same = np.full(20_000, 97, np.uint32)
+    assert greedy_tiles(same, same[:9000]) == [(0, 0, 9000)]  # repetitive texts are not quadratic
+
+
+def test_reordered_passages_are_found_by_coverage(spark):
+    """Planted: an item's quarters in another order are no run of half the item, yet cover all of it."""
+    rnd = random.Random(9)
+    item = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(120))
+    quarter = [item[k : k + 30] for k in range(0, 120, 30)]
+    filler = lambda: "".join(chr(0x7000 + rnd.randrange(2000)) for _ in range(25))
+    docs = [
+        (1, "。".join([filler(), quarter[3], filler(), quarter[1], quarter[0], filler(), quarter[2]])),
+        (2, filler() + item[:70] + filler()),
+        (3, filler() + quarter[2] + filler()),
+        (4, filler() * 9),
+    ]
+    found = find_leaks(spark.createDataFrame([(d, t, "s", "n", "c") for d, t in docs], DOCS), spark.createDataFrame([(7, item, "")], ITEMS))
+    assert [tuple(r) for r in reordered(found).collect()] == [(1, 7, 120, 30, 120, 4)]
+    assert [tuple(r) for r in whole_runs(found).collect()] == [(2, 7, 120, 70, 70, 1)]
+    assert found.count() == 3
+
+
+def test_many_items_in_one_document_and_no_broadcast(spark, monkeypatch):
+    rnd = random.Random(11)
+    items = [(i, "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(40)), "") for i in range(150)]
+    dump = [(1, "。".join(x[1] for x in items), "s", "n", "c"), (2, items[3][1] * 2, "s", "n", "c")]
+    for most in (10**9, 0):
+        monkeypatch.setattr("clueforge.llm.leaks.MOST_SENT", most)
+        found = find_leaks(spark.createDataFrame(dump, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+        assert sorted((r["doc_id"], r["item_id"], r["longest"]) for r in found) == sorted([(1, i, 40) for i in range(150)] + [(2, 3, 40)])
+
+
 def test_leaks_of_empty_tables(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert find_leaks(docs, items).count() == 0
