@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from clueforge.functions.money import stated_scale, with_sum
-from clueforge.operators.units import exact_segments, to_common_unit, typed_sums, unit_changes
+from clueforge.operators.units import exact_segments, hidden_units, to_common_unit, typed_sums, unit_changes
 
 SCHEMA = "record_id string, amount string, control_amount string, amount_unit string, currency string, source_system string, extra map<string,string>, ingested_at timestamp, day int, number string"
 NOW = datetime(2025, 1, 1)
@@ -93,3 +93,70 @@ def test_unit_change_in_a_history_is_reversed(spark):
     assert [r["shift"] for r in moved] == [-4]
     fixed = {r["record_id"]: r["value_fen"] for r in to_common_unit(df).collect()}
     assert min(v for k, v in fixed.items() if k.startswith("25-")) > 1_000_000
+
+
+def plain_programme(n, s, q, penalty, least):
+    """Cost of the best segmentation by plain dynamic programming over all starts."""
+    c, t, k = (np.concatenate([[0.0], np.cumsum(x)]) for x in (n, s, q))
+    best = np.full(len(n) + 1, np.inf)
+    best[0] = -penalty
+    for j in range(least, len(n) + 1):
+        i = np.arange(0, j - least + 1)
+        best[j] = (best[i] + k[j] - k[i] - (t[j] - t[i]) ** 2 / (c[j] - c[i]) + penalty).min()
+    return best[-1]
+
+
+def test_pruned_search_equals_plain_programme_on_random_histories():
+    rng = np.random.default_rng(7)
+    for _ in range(2000):
+        least = int(rng.integers(1, 7))
+        size = int(rng.integers(2 * least, 70))
+        n = rng.integers(1, 5, size).astype(float)
+        s = n * (np.repeat(rng.normal(0, 2, 12), 6)[:size] * rng.integers(0, 2) + rng.normal(0, 0.7, size))
+        q, penalty = s * s / n + rng.random(size), float(rng.choice([0.1, 0.5, 2, 8, 30]))
+        cuts = exact_segments(n, s, q, penalty, least)
+        cost = sum(q[i:j].sum() - s[i:j].sum() ** 2 / n[i:j].sum() + penalty for i, j in cuts) - penalty
+        assert cuts[0][0] == 0 and cuts[-1][1] == size and min(j - i for i, j in cuts) >= least
+        assert cost == pytest.approx(plain_programme(n, s, q, penalty, least), abs=1e-7)
+
+
+def planted(seed=5, days=40):
+    """One source that types yuan, then without any unit in ten thousands, with its stated values beside."""
+    rng, rows = np.random.default_rng(seed), []
+    for day in range(days):
+        at = datetime(2025, 1 + day // 28, 1 + day % 28)
+        for k in range(12):
+            yuan = 10 ** rng.normal(6, 0.2)
+            rows.append(row(f"p{day}-{k}", f"{yuan:.2f}", "元", at=at))
+            rows.append(row(f"w{day}-{k}", f"{yuan / 1e4:.6f}", "万元", at=at))
+            rows.append(row(f"u{day}-{k}", f"{yuan / (1e4 if day >= days // 2 else 1):.6f}", at=at))
+    return rows
+
+
+def no_search(sums, **_):
+    return unit_changes(sums.where("false"))
+
+
+def test_rows_need_the_search(spark):
+    """Planted shift of unstated values: reversed by the search, left wrong without it."""
+    df = spark.createDataFrame(planted(), SCHEMA)
+    found, off = (to_common_unit(df, search=s).select("record_id", "value_fen", "agrees").collect() for s in (unit_changes, no_search))
+    assert min(r["value_fen"] for r in found) > 10_000_000
+    wrong = {r["record_id"] for r in off if r["value_fen"] < 10_000_000}
+    assert wrong == {f"u{d}-{k}" for d in range(20, 40) for k in range(12)}
+    assert all(r["agrees"] for r in found if r["record_id"][0] in "pw")
+
+
+def test_hidden_units_are_recovered(spark):
+    df = spark.createDataFrame(planted(), SCHEMA).where("record_id not like 'u%'")
+    got = {r["power"]: (r["values"], r["found"]) for r in hidden_units(df).collect()}
+    assert got == {0: (480, 480), 4: (480, 480)}
+    assert hidden_units(df, search=no_search).count() == 0
+    assert hidden_units(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_unstated_values_beside_another_unit_stay(spark):
+    """A few unstated values next to the segment of another unit don't take that unit's shift."""
+    rows = [r for r in planted() if r[0][0] == "w"] + [row(f"x{k}", "2500000", at=datetime(2025, 2, 1 + k)) for k in range(3)]
+    out = {r["record_id"]: r["value_fen"] for r in to_common_unit(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {out[f"x{k}"] for k in range(3)} == {250_000_000}
