@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import durable
-from .addresses import deletions, within_one
+from ..session import durable, spread
+from .addresses import within_one
 
 #: Traditional characters frequent in company names, and their simplified forms.
 _VARIANTS = str.maketrans(
@@ -24,39 +24,65 @@ _VARIANTS = str.maketrans(
 #: Trades in company names; the longest that fits counts.
 TRADES = (
     "建设工程 机电设备 医疗器械 信息技术 网络系统 智能装备 物业服务 环境工程 仪器仪表 自动化 电子 科技 建筑工程 工程咨询 系统集成 软件 物流 贸易 商贸 药业 "
-    "化工 能源 电气 通信 机械 装饰 园林 安防 实业 环保 咨询 服务 技术 工程 设备"
+    "化工 能源 电气 通信 机械 装饰 园林 安防 实业 环保 咨询 服务 技术 工程 设备 "
+    "信息 网络 控股 投资 制造 电器 仪器 材料 新材料 智能科技 生物科技 生物 医药 食品 农业 纺织 服装 印刷 包装 广告 传媒 文化 教育 旅游 餐饮 酒店 物业 置业 地产 房地产 "
+    "市政工程 消防工程 水利工程 路桥 钢结构 建材 建筑 建设 电力 水务 燃气 矿业 冶金 钢铁 光电 半导体 微电子 检测 测绘 设计 监理 招标代理 供应链 运输 汽车 租赁 劳务 人力资源"
 ).split()
 TRADES.sort(key=len, reverse=True)
 _LEGAL = re.compile(r"\(?(?:集团)?\)?(?:股份)?(?:有限)?(?:责任)?(?:总)?公司$|\(?集团\)?$")
 _LEGAL_RUN = re.compile(r"[有限责任股份集团总公司()]*[公司]$")
-#: Trades and their abbreviations, legal forms, and nicknames, in Latin letters.
+#: Trades in Latin letters, each with the ways to write it (joined, without blanks).
 LATIN_TRADES = {
     "medicaldevices": ("medicaldevices", "meddevices"),
     "internationaltrading": ("internationaltrading", "intltrading"),
     "systemsandnetworks": ("systemsandnetworks", "systemsnetworks"),
-    "technology": ("technology", "tech"),
-    "engineering": ("engineering", "eng"),
+    "informationtechnology": ("informationtechnology", "infotech"),
+    "technology": ("technology", "technologies", "tech"),
+    "engineering": ("engineering", "engineers", "eng"),
     "instruments": ("instruments", "instr"),
     "machinery": ("machinery", "mach"),
-    "electronics": ("electronics",),
+    "electronics": ("electronics", "electr"),
     "construction": ("construction", "constr"),
-    "software": ("software",),
-    "logistics": ("logistics",),
+    "manufacturing": ("manufacturing", "mfg"),
+    "communications": ("communications", "comms"),
     "pharmaceuticals": ("pharmaceuticals", "pharma"),
+    "environmental": ("environmental", "environ"),
+    "automation": ("automation", "autom"),
+    "consulting": ("consulting", "consultants"),
+    "industries": ("industries", "industrial"),
+    "materials": ("materials",),
+    "equipment": ("equipment", "equip"),
+    "chemicals": ("chemicals", "chemical", "chem"),
+    "logistics": ("logistics",),
+    "solutions": ("solutions",),
+    "electric": ("electric", "electrical"),
+    "services": ("services", "service"),
+    "holdings": ("holdings", "holding"),
+    "software": ("software",),
+    "trading": ("trading", "traders"),
+    "textiles": ("textiles", "textile"),
+    "systems": ("systems", "syst"),
+    "energy": ("energy",),
+    "group": ("group",),
 }
-_LATIN_LEGAL = re.compile(r"(?:companylimited|coltd|limited|ltd|corporation|corp|incorporated|inc|llc|company)$")
-_SHORT_TRADE = re.compile(r"\b(?:tech|eng|instr|mach|constr|pharma)\b")
+_LATIN_LEGAL = re.compile(r"(?:companylimited|coltd|limited|ltd|corporation|corp|incorporated|inc|llc|gmbh|plc|company)$")
+_SHORT_TRADE = re.compile(r"\b(?:" + "|".join(f for forms in LATIN_TRADES.values() for f in forms if len(f) < 7) + r")\b")
+#: Nicknames that don't begin like the name they stand for, and how those names begin in European languages.
 NICKNAMES = {
-    "lisa": "elisavera", "eli": "elisavera", "will": "wilhelmar", "bill": "wilhelmar", "fred": "frederikus", "sam": "samuelle", "alex": "alexandrin",
-    "jo": "josephane", "josie": "josephane", "greta": "margaretha", "maggie": "margaretha", "rob": "robertus", "bob": "robertus", "ben": "benediktor",
-    "kasia": "katarzine", "kate": "katarzine", "theo": "theodoric", "ted": "theodoric",
-    "mike": "michael", "jim": "james", "tom": "thomas", "liz": "elizabeth", "beth": "elizabeth", "kathy": "katherine", "dick": "richard",
-    "tony": "anthony", "dave": "david", "joe": "joseph", "nick": "nicholas", "steve": "steven", "dan": "daniel", "matt": "matthew", "andy": "andrew",
-}
-#: Weight of each rewriting; those in NEEDS_UNIQUE count only where one organisation alone has the form.
-WEIGHTS = {"legal": 110, "full": 100, "joined": 95, "typo": 85, "no_town": 80, "initial": 75, "no_trade": 70}
+    nick: tuple(stems.split())
+    for line in """bill billy will willy willie liam:wil|bob bobby robin:rob|dick rick ricky richie:ric|jim jimmy jamie:jam jac|jack johnny jon hans jan:joh|ted teddy:the ed
+    ned:ed|tony:ant|tom tommy:tho|mike mick mickey:mic|nick klaus:nic nik|steve:ste|dave:dav|joe joey josie jo:jos|kate katie kathy kat kasia kitty cathy katya:kat cat|
+    liz lizzie beth betty lisa elsa ella lily:eli|maggie meg peggy greta madge margie rita polly molly:mar|sasha sandy xander lex:ale|andy drew:and|freddy freddie:fre alf|fritz:fri fre|
+    charlie chuck:cha|hank harry:hen har|larry:lau law|gus:aug|abe:abr|becky:reb|cindy:cyn|gene:eug|gerry jerry:ger jer|jeff:jef geo|jenny:jen|lenny:leo|mandy:ama|nancy:ann|
+    nell nelly:ele hel|pete:pet|sally:sar|sue suzy:sus|tina:chr|vicky:vic|walt wally:wal|zack:zac|lena:hel mag|matt:mat|paddy:pat|eddie:ed|benny:ben|danny:dan|ronnie:ron|bess:eli""".replace("\n", "|").split("|")
+    if ":" in line
+    for nicks, stems in [line.split(":")]
+    for nick in nicks.split()
+}
+#: Weight of each rewriting (a moved character leaves all characters, so it tells more than a replaced one); those in NEEDS_UNIQUE count only where one organisation alone has the form.
+WEIGHTS = {"legal": 110, "full": 100, "joined": 95, "nick": 90, "moved": 87, "typo": 85, "no_town": 80, "initial": 75, "no_trade": 70}
 NEEDS_UNIQUE = ("no_town", "initial", "no_trade")
-_FORMS = "id string, form string, kind string, body string"
+_FORMS = "id string, form string, kind string, body string, side string"
 
 
 def plain_name(name: str) -> str:
@@ -123,92 +149,136 @@ def split_person(name: str) -> tuple[str, str] | None:
     first, last = tokens
     if "," in name or len(last) == 1 or (first.isupper() and len(first) > 1 and not last.isupper()):
         first, last = last, first
-    first, last = first.lower(), last.lower()
-    return NICKNAMES.get(first, first), last
+    return first.lower(), last.lower()
+
+
+def typo_forms(head: str, body: str, tail: str) -> set[tuple[str, str, str, str]]:
+    """Forms equal for two bodies exactly where they differ by one character replaced, left out, added, or moved.
+
+    A replaced character leaves equal rests, place and length; a moved one equal rests and the same character; for one
+    left out the whole of one side is the other's rest, so either side gives both under names that only the other side asks for.
+    """
+    out = {(f"{head}~w|{body}|{tail}", "k"), (f"{head}~x|{body}|{tail}", "u")}
+    for i, c in enumerate(body):
+        rest = body[:i] + body[i + 1 :]
+        out |= {(f"{head}~{i}/{len(body)}|{rest}|{tail}", "b"), (f"{head}~m{c}|{rest}|{tail}", "m"), (f"{head}~x|{rest}|{tail}", "k"), (f"{head}~w|{rest}|{tail}", "u")}
+    return {(form, "moved", "", "b") if side == "m" else (form, "typo", "", side) for form, side in out}
 
 
-def name_forms(name: str, towns: set[str]) -> set[tuple[str, str, str]]:
-    """(form, kind, body): every canonical rewriting of one typed name. body is what a typed error may be in, and for the
-    kinds in NEEDS_UNIQUE the part that the form leaves out, empty where the name has none."""
+def first_name_forms(first: str, last: str) -> set[tuple[str, str, str, str]]:
+    """Forms of nicknames and initials: the short side asks for a name that begins so, the long side for any short of it."""
+    if len(first) == 1:
+        return {(f"Pi{first}|{last}", "initial", "", "u"), (f"Pj{first}|{last}", "initial", "", "k"), (f"Pk{first}|{last}", "initial", "", "b")}
+    out = {(f"Pj{first[0]}|{last}", "initial", "", "u"), (f"Pi{first[0]}|{last}", "initial", "", "k")}
+    shorts = {first, *NICKNAMES.get(first, ())} if len(first) <= 6 else set()
+    for short in shorts:
+        out |= {(f"Pn{short}|{last}", "nick", "", "u"), (f"Pl{short}|{last}", "nick", "", "k")}
+    if first not in NICKNAMES:
+        for n in range(2, min(len(first), 7)):
+            out |= {(f"Pl{first[:n]}|{last}", "nick", "", "u"), (f"Pn{first[:n]}|{last}", "nick", "", "k")}
+    return out
+
+
+def name_forms(name: str, towns: set[str]) -> set[tuple[str, str, str, str]]:
+    """(form, kind, body, side): every canonical rewriting of one typed name. body is, for the kinds in NEEDS_UNIQUE, the part
+    that the form leaves out, empty where the name has none. side is u or k for forms that count only while the
+    name is looked up or only while it is looked for, b for both."""
     s = plain_name(name)
+    both = lambda rows: {(form, kind, body, "b") for form, kind, body in rows}
     if re.search("[一-鿿]{2}", s):
         town, brand, trade, legal = split_company(re.sub(r"\s", "", s), towns)
         if len(brand) < 2:
             return set()
         out = set()
         if trade:
-            out.add((f"C*|{brand}|{trade}", "no_town", town))
+            out |= both([(f"C*|{brand}|{trade}", "no_town", town)])
         if town:
-            out.add((f"C{town}|{brand}|*", "no_trade", trade))
+            out |= both([(f"C{town}|{brand}|*", "no_trade", trade)])
         if trade and (town or legal):
             core = re.sub("责任|[()]", "", legal)
-            out |= {(f"C{town}|{brand}|{trade}", "full", ""), (f"C{town}|{brand}|{trade}|{core}", "legal", "")}
-            out |= {(f"C{town}|~{d}|{trade}", "typo", brand) for d in deletions(brand)}
+            out |= both([(f"C{town}|{brand}|{trade}", "full", ""), (f"C{town}|{brand}|{trade}|{core}", "legal", "")])
+            out |= typo_forms(f"C{town}|", brand, trade)
         if not trade and not town:
-            out.add((f"C{brand}", "full", ""))
+            out |= both([(f"C{brand}", "full", "")])
         return out
     if company := split_latin(s):
         brand, trade = company
         if len(brand) < 3:
             return set()
-        out = {(f"E{brand}|*", "no_trade", trade)}
+        out = both([(f"E{brand}|*", "no_trade", trade)])
         if trade:
-            out |= {(f"E{brand}|{trade}", "full", "")} | {(f"E~{d}|{trade}", "typo", brand) for d in deletions(brand)}
+            out |= both([(f"E{brand}|{trade}", "full", "")]) | typo_forms("E", brand, trade)
         return out
     joined = re.sub(r"[^a-z]", "", s.lower())
     if len(joined) < 5:
         return set()
-    out = {(f"P{joined}", "joined", "")} | {(f"P{full}{joined[len(nick) :]}", "joined", "") for nick, full in NICKNAMES.items() if joined.startswith(nick)}
-    if person := split_person(s):
+    person = split_person(s)
+    if person and len(person[0]) == 1:
+        return first_name_forms(*person)
+    out = both([(f"P{joined}", "joined", "")])
+    if not person and re.fullmatch(r"[A-Za-z\s]+", s):  # blanks inside the parts: a nickname may be any start of the whole
+        for n in range(2, min(7, len(joined) - 3)):
+            out |= {f for f in first_name_forms(joined[:n], joined[n:]) if f[0][:2] == "Pn"}
+    if person:
         first, last = person
-        if len(first) == 1:
-            return {(f"P{first}.|{last}", "initial", "")}
-        out |= {(f"P{first}{last}", "joined", ""), (f"P{last}{first}", "joined", ""), (f"P{first}|{last}", "full", ""), (f"P{first[0]}.|{last}", "initial", first)}
-        out |= {(f"P~{d}|{last}", "typo", first) for d in deletions(first)} | {(f"P{first}|~{d}", "typo", last) for d in deletions(last)}
+        out |= both([(f"P{first}{last}", "joined", ""), (f"P{last}{first}", "joined", ""), (f"P{first}|{last}", "full", "")]) | first_name_forms(first, last)
+        out |= typo_forms("P1", first, last) | typo_forms("P2", last, first)
     return out
 
 
-def _explode(towns: set[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, *f) for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if n for f in sorted(name_forms(n, towns))]
-            columns = zip(*rows) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], ["id", "form", "kind", "body"])
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = (c.to_pylist() for c in batch.columns[:3])
+        rows = [(i, *f) for i, n, towns in zip(*columns) for f in sorted(name_forms(n, set(towns or ())))]
+        out = zip(*rows) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in out], ["id", "form", "kind", "body", "side"])
 
-    return run
 
+def _with_towns(names: DataFrame) -> DataFrame:
+    """names and the towns each of them may begin with or hold in brackets.
+
+    A town is what any name of the table writes with the suffix 市. Names and towns are joined as tables: the pieces of a name
+    that could be a town are two or three characters at its start or in brackets.
+    """
+    tight = F.regexp_replace("name", r"(?U)\s", "")
+    towns = names.select(F.regexp_extract(tight, r"^([一-鿿]{2,3}?)[市巿](?=..)", 1).alias("town")).where("town <> ''").distinct()
+    pieces = F.array(F.substring(tight, 1, 2), F.substring(tight, 1, 3), F.regexp_extract(tight, r"[(（]([一-鿿]{2,3})[)）]", 1))
+    found = names.select("id", "name", F.explode(F.array_distinct(pieces)).alias("town")).join(towns, "town").groupBy("id", "name").agg(F.collect_set("town").alias("towns"))
+    return names.join(found, ["id", "name"], "left").select("id", "name", "towns")
 
-def _best(unknown: DataFrame, known: DataFrame, labelled: DataFrame, most: int, own: bool = False) -> DataFrame:
-    """(id, label) of each unknown id whose best rewriting belongs to one label only.
 
-    How many labels share a form is counted over all that are labelled. A form that more than `most` share can't tell
-    them apart and isn't joined; the score of a form is its weight less ten for each doubling of the labels that share it.
-    own: the unknown ids are themselves among the labels; none meets itself or counts for its own rarity, and two names
-    that both have the part a form leaves out need the same one, because neither is known to be a variant.
+def _best(unknown: DataFrame, known: DataFrame, others: DataFrame | None = None, own: bool = False) -> DataFrame:
+    """(id, label) of each unknown id whose best rewriting belongs to one label of known only.
+
+    The score of a form is its weight less ten for each doubling of the labels that share it, counted over known and others.
+    Labels that share a form have the same score by it, so a form of several labels can only tie: each form is one
+    row, with how many labels have it and the label where it is one, and is joined once however crowded it is.
+    A name that has the part a form leaves out needs a label that has the same one, or none.
+    own: the unknown ids are themselves among the labels; none meets itself or counts for its own rarity.
     """
-    rarity = labelled.groupBy("form").agg((F.count_distinct("label") - int(own)).alias("rarity")).where(F.col("rarity").between(1, most))
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("u.kind"))
-    other = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("k.kind"))
-    near = (F.levenshtein("u.body", "k.body") <= 1) | (
-        (F.length("u.body") == F.length("k.body")) & (F.array_sort(F.split("u.body", "")) == F.array_sort(F.split("k.body", "")))
-    )
-    met = unknown.alias("u").join(known.join(rarity, "form").alias("k"), F.col("u.form") == F.col("k.form"))
-    if own:
-        agree = (F.col("u.body") == "") | (F.col("k.body") == "") | (F.col("u.body") == F.col("k.body"))
-        met = met.where((F.col("u.id") != F.col("k.label")) & F.when(F.col("u.kind").isin(*NEEDS_UNIQUE), agree).otherwise(near))
-    else:
-        met = met.where(near | F.col("u.kind").isin(*NEEDS_UNIQUE))
-    met = met.where(~F.col("u.kind").isin(*NEEDS_UNIQUE) | (F.col("rarity") == 1))
-    scored = met.select(
-        F.col("u.id").alias("id"), F.col("k.label").alias("label"), (F.least(weight, other) - 10 * F.log2(F.col("rarity").cast("double"))).alias("score")
-    )
-    by = scored.groupBy("id", "label").agg(F.max("score").alias("score"), F.count("*").alias("forms"))
-    top = by.groupBy("id").agg(F.max("score").alias("top"))
-    first = by.join(top, "id").where("score = top").groupBy("id").agg(F.count("*").alias("n"), F.min("label").alias("label"))
-    return first.where("n = 1").select("id", "label")
-
-
-def link_names(records: DataFrame, most: int = 64) -> DataFrame:
+    tagged = known.select("form", "label", "body", "side", F.lit(1).alias("is_known"))
+    if others is not None:
+        tagged = tagged.unionAll(others.select("form", "label", "body", "side", F.lit(0)))
+    per = tagged.where("side <> 'u'").groupBy("form", "label").agg(F.array_remove(F.collect_set("body"), "").alias("bodies"), F.max("is_known").alias("is_known"))
+    candidate = F.when(F.col("is_known") == 1, F.struct("label", "bodies"))
+    held = per.groupBy("form").agg(F.count("*").alias("rarity"), F.sum("is_known").alias("n"), F.min(candidate).alias("lo"), F.max(candidate).alias("hi")).where("n > 0")
+    asked = unknown.where("side <> 'k'").select("id", "form", "kind", "body").distinct()
+    met = asked.join(held, "form").withColumn("o", F.col("lo"))
+    if own:  # a form may be one that only the looking side has; then the id itself isn't among its labels
+        mine = known.where("side <> 'u'").select(F.col("label").alias("id"), "form", F.lit(1).alias("mine")).distinct()
+        met = met.join(mine, ["id", "form"], "left").withColumn("mine", F.coalesce("mine", F.lit(0)))
+        other = F.when((F.col("mine") == 1) & (F.col("lo.label") == F.col("id")), F.col("hi")).otherwise(F.col("lo"))
+        met = met.withColumns({"rarity": F.col("rarity") - F.col("mine"), "n": F.col("n") - F.col("mine"), "o": other}).where("n > 0")
+    agree = (F.col("body") == "") | (F.size("o.bodies") == 0) | F.array_contains("o.bodies", F.col("body"))
+    met = met.where(~F.col("kind").isin(*NEEDS_UNIQUE) | ((F.col("rarity") == 1) & agree))
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("kind"))
+    scored = met.select("id", (weight - 10 * F.log2(F.col("rarity").cast("double"))).alias("score"), (F.col("rarity") > 1).alias("tied"), "o.label")
+    by = scored.groupBy("id", "score").agg(F.bool_or("tied").alias("tied"), F.min("label").alias("label"), F.max("label").alias("last"))
+    best = by.groupBy("id").agg(F.max_by(F.struct("tied", "label", "last"), "score").alias("b"))
+    return best.where("not b.tied and b.label = b.last").select("id", "b.label")
+
+
+def link_names(records: DataFrame) -> DataFrame:
     """(id, label): the ids of one organisation or person share a label, which is one of the ids.
 
     records: bidder_id, bidder_name, bidder_aliases and credit_code, one row an occurrence. Every name and alias is
@@ -221,7 +291,8 @@ def link_names(records: DataFrame, most: int = 64) -> DataFrame:
 
     Blank ids and names count for nothing, null alias lists are empty, rows repeated at will count once, an id without
     any usable name is its own label, an empty table gives an empty result, other columns don't matter. Rows are reduced
-    to distinct (id, name) before anything else, so an id that holds a third of all rows is a handful of names.
+    to distinct (id, name) before anything else, so an id that holds a third of all rows is a handful of names; a form that
+    any number of labels share is one row.
     """
     named = records.where(F.col("bidder_id").rlike(r"(?U)\S"))
     squeezed = lambda c: F.regexp_replace(F.trim(c), r"(?U)\s+", " ")
@@ -230,24 +301,24 @@ def link_names(records: DataFrame, most: int = 64) -> DataFrame:
     names = durable(names.unionAll(aliases).where("name is not null and name <> ''").distinct(), "names")
     code = F.min(F.when(F.col("credit_code").rlike(r"(?U)\S"), F.trim("credit_code")))
     ids = durable(named.groupBy(F.col("bidder_id").alias("id")).agg(code.alias("code")), "ids")
-    prefix = F.regexp_extract(F.regexp_replace("name", r"(?U)\s", ""), r"^([一-鿿]{2,3}?)[市巿](?=..)", 1)
-    towns = {r[0] for r in names.select("id", prefix.alias("town")).where("town <> ''").groupBy("town").agg(F.count_distinct("id").alias("n")).where("n > 2").select("town").collect()}
-    forms = durable(names.mapInArrow(_explode(towns), _FORMS).distinct().join(ids.select("id", F.col("code").isNotNull().alias("coded")), "id"), "forms")
-    known = forms.where("coded").select("id", "form", "kind", "body", F.col("id").alias("label"))
-    unknown = forms.where("not coded").select("id", "form", "kind", "body")
-    first = durable(_best(unknown, known, known, most), "labels1")
+    exploded = spread(_with_towns(names), "id", "name").mapInArrow(_explode, _FORMS).distinct()
+    forms = durable(exploded.join(ids.select("id", F.col("code").isNotNull().alias("coded")), "id"), "forms")
+    shape = ("form", "kind", "body", "side")
+    known = forms.where("coded").select("id", *shape, F.col("id").alias("label"))
+    unknown = forms.where("not coded").select("id", *shape)
+    first = durable(_best(unknown, known), "labels1")
     variants = unknown.join(first, "id")
     open_ = unknown.join(first, "id", "left_anti")
-    second = durable(_best(open_, variants, known.unionByName(variants), most), "labels2")
+    second = durable(_best(open_, variants, known), "labels2")
     rest = open_.join(second, "id", "left_anti")
     whole = rest.where(F.col("kind").isin("full", "legal", "joined"))
     heads = whole.groupBy("form").agg(F.min("id").alias("head"), F.count_distinct("id").alias("n")).where("n > 1")
     same = connected_components(whole.join(heads, "form"), "id", "head").select("id", F.col("component").alias("label"))
-    left = rest.join(same, "id", "left").select(F.coalesce("label", "id").alias("id"), "form", "kind", "body").distinct()
+    left = rest.join(same, "id", "left").select(F.coalesce("label", "id").alias("id"), *shape).distinct()
     left = durable(left.withColumn("label", F.col("id")), "left")
-    others = known.unionByName(variants).unionByName(open_.join(second, "id")).select("label", "form", "kind", "body").distinct()
+    others = known.unionByName(variants).unionByName(open_.join(second, "id")).select("label", *shape).distinct()
     everyone = others.unionByName(left.drop("id"))
-    alike = _best(left, everyone, everyone, most, own=True).join(left.select("label").distinct(), "label", "left_semi")
+    alike = _best(left, everyone, own=True).join(left.select("label").distinct(), "label", "left_semi")
     third = connected_components(same.unionByName(alike), "id", "label").select("id", F.col("component").alias("label"))
     labels = first.unionAll(second).unionAll(third)
     return ids.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
