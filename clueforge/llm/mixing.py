@@ -154,6 +154,28 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def mix_bounds(mixed: DataFrame, documents: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(source, within_caps, within_a_document) of every source of the mix that has documents and a target.
+
+    within_caps: no document has more copies than max_repeats. within_a_document: the source's tokens miss its share of
+    the scarcest source's total, share * min(cap * tokens / share), by no more than its longest document. Sums are exact
+    integers; the plan is compared after multiplying out the shares in billionths.
+    """
+    chosen = documents.where(F.col("doc_id").isNotNull() & F.col("source").rlike(r"(?U)\S") & F.col("text").isNotNull())
+    counted = with_token_counts(chosen, ["doc_id", "source"], path=path).where("n_tokens > 0").groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("s")).select("s.*")
+    there = counted.groupBy("source").agg(F.sum("n_tokens").alias("there"), F.max("n_tokens").alias("longest"))
+    wanted = targets.groupBy("source").agg(F.min("target_share").alias("share"), F.min("max_repeats").alias("cap")).where("share > 0 and cap > 0")
+    taken = mixed.groupBy("source").agg(F.max("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
+    rows = wanted.join(there, "source").join(taken, "source", "left").fillna(0, ["copies", "tokens"])
+    billionths = F.round(F.col("share") * 1_000_000_000).cast("decimal(20,0)")
+    rows = rows.select("source", "cap", "copies", "tokens", "longest", billionths.alias("b"), (F.col("cap") * F.col("there")).cast("decimal(20,0)").alias("most"))
+    scarcest = rows.agg(F.min_by(F.struct("most", "b"), F.col("most") / F.col("b")).alias("z"))
+    gap = F.abs(F.col("tokens").cast("decimal(20,0)") * F.col("z.b") - F.col("b") * F.col("z.most"))
+    return rows.join(F.broadcast(scarcest)).select(
+        "source", (F.col("copies") <= F.col("cap")).alias("within_caps"), (gap <= (F.col("longest") + 1).cast("decimal(20,0)") * F.col("z.b")).alias("within_a_document")
+    )
+
+
 def compose(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """The corpus itself: each chosen document's row as often as it has copies."""
     picks = mixed.select("doc_id", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -31,19 +32,26 @@ _NAME = rf"(?:{_CN}|{_LATIN})"
 _EACH = rf"{_ANY}(?:、{_ANY})*"
 _PHONE_NEXT = r"[\s|，,、:：]{1,3}(?=[(（+＋]?[\d])"
 
+_LABELS = "联系人|负责人|经办人|记录人|收件人|联络人|代表人|授权代表|委托人?|被授权人|受托人|项目经理|技术顾问|外方代表|签字人|申请人姓名|姓名"
+#: How words for offices, roles and parties end, which a label may name instead of a person.
+_OFFICE = r"(?:部|处|科|司|局|院|厅|办|站|所|组|队|室|方|中心|单位|公司|人员|代表|经理|电话|手机|邮箱|地址|日期|签字|盖章|职务|身份|证件|附件|信息|方式|名单|如下)"
+_NOT_A_NAME = re.compile(rf"^(?:{'|'.join(NOT_NAMES)}|.*{_OFFICE})$|^(?:联系|电话|手机|身份|姓名|签字|盖章|日期|地址|不|未|均|为|由|及|与|或|已|应|须|需)")
+#: (words one of which a text must have, a pattern it must hold, the pattern with the name in group 1, whether it lists several names)
 PERSONS = [
-    (re.compile(rf"(?:联系人|负责人|经办人|记录人|收件人|联络人|代表人|授权代表|委托人?|被授权人|受托人|项目经理|技术顾问|外方代表|签字人|申请人姓名|姓名)[:： ]?[ 　]?({_NAME})(?=[，,。；;（(\s、]|$|联系|电话|手机|身份|证件|已)"), False),
-    (re.compile(rf"(?:监理工程师|总监|工程师|专家)({_CN})(?=已|签字|确认|到场)"), False),
-    (re.compile(rf"(?:与会人员|参会人员|出席人员|签到|评委|与会者|参会者)[:： ][ 　]?({_EACH})(?=[。；;，,\s]|$|[A-Za-z])"), True),
-    (re.compile(rf"(?:请与|会上|由|经|请|向|随|和|与)({_CN})(?=工程师|经理|先生|女士|复核|老师|主任|教授|处长|科长|同志)"), False),
-    (re.compile(rf"({_CN})(?=先生收|女士收|（收）|\(收\)|收[。，；\s])"), False),
-    (re.compile(rf"(?:^|[\s。；;，,|！？）)])({_CN}){_PHONE_NEXT}", re.M), False),
-    (re.compile(rf"({_CN})[\t|](?=[(（+＋]?\d[\d ()（）-]{{6}})"), False),
-    (re.compile(rf"\b(?:Mr|Ms|Mrs|Miss|Dr|Prof)\.? ?({_LATIN})"), False),
-    (re.compile(rf"(?:Contact|Attn|Name|Signed by|Prepared by|ask for|belongs to|signed by|prepared by|Dear):? ?({_LATIN})"), False),
-    (re.compile(rf"({_LATIN})(?= (?:holds|approved|attended|signed|confirmed|reviewed|prepared) (?:the|this|a)\b)"), False),
-    (re.compile(rf"({_LATIN})(?=,? (?:phone|tel\.?|at) [(+\d])"), False),
+    ((), re.compile(rf"(?:{_LABELS})[:： ]?[ 　]?({_NAME})(?=[，,。；;（(\s、]|$|联系|电话|手机|身份|证件|已)"), False),
+    ((":", "："), re.compile(rf"(?:{_LABELS})[:：][ 　]?({_ANY})(?=[，,。；;（(\s]|$)"), False),
+    ((), re.compile(rf"(?:监理工程师|总监|工程师|专家)({_CN})(?=已|签字|确认|到场)"), False),
+    ((), re.compile(rf"(?:与会人员|参会人员|出席人员|签到|评委|与会者|参会者)[:： ][ 　]?({_EACH})(?=[。；;，,\s]|$|[A-Za-z])"), True),
+    ((), re.compile(rf"(?:请与|会上|由|经|请|向|随|和|与)({_CN})(?=工程师|经理|先生|女士|复核|老师|主任|教授|处长|科长|同志)"), False),
+    (("先生收", "女士收", "（收）", "(收)", "收。", "收，", "收；", "收\n", "收 ", "收　", "收\r", "收\t"), re.compile(rf"({_CN})(?=先生收|女士收|（收）|\(收\)|收[。，；\s])"), False),
+    ((), re.compile(rf"(?:^|[\s。；;，,|！？）)])({_CN}){_PHONE_NEXT}", re.M), False),
+    (("\t", "|"), re.compile(rf"({_CN})[\t|](?=[(（+＋]?\d[\d ()（）-]{{6}})"), False),
+    (("Mr", "Ms", "Miss", "Dr", "Prof"), re.compile(rf"\b(?:Mr|Ms|Mrs|Miss|Dr|Prof)\.? ?({_LATIN})"), False),
+    (("Contact", "Attn", "Name", "by", "for", "to", "Dear"), re.compile(rf"(?:Contact|Attn|Name|Signed by|Prepared by|ask for|belongs to|signed by|prepared by|Dear):? ?({_LATIN})"), False),
+    ((" holds ", " approved ", " attended ", " signed ", " confirmed ", " reviewed ", " prepared "), re.compile(rf"({_LATIN})(?= (?:holds|approved|attended|signed|confirmed|reviewed|prepared) (?:the|this|a)\b)"), False),
+    ((" phone ", " tel ", " tel. ", " at "), re.compile(rf"({_LATIN})(?=,? (?:phone|tel\.?|at) [(+\d])"), False),
 ]
+_AT_SIGNS = ("@", "＠", "[at]", "(at)", "（at）", "[AT]", "(AT)", "#at#")
 EMAIL = re.compile(
     r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]{0,63})( ?(?:@|＠|\[at\]|\(at\)|（at）|\[AT\]|\(AT\)|#at#) ?)([A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)+)"
 )
@@ -52,11 +60,17 @@ PHONE = re.compile(
     r"(?<![\d.A-Za-z/_])(?:[(（][+＋]?[8８][6６][)）][- ]?|(?:[+＋]|[0０]{2})[8８][6６][- ]?)?"
     rf"(?:[1１][3-9３-９]\d(?:[- ]?\d{{4}}){{2}}{_EXT}|(?:[(（][0０]?\d{{2,3}}[)）][- ]?|[0０]\d{{2,3}}[- ]?)\d{{7,8}}{_EXT})(?![\d]|[.．]\d|元)"
 )
+#: Runs that a number can begin in, found without a look at every character.
+_NUMBER_RUN = re.compile(r"[(（+＋0０1１][\d()（）+＋ -]{5,}")
 _NOT_PHONE = re.compile(r"(?:序列号|编号|出厂码|账面数|账号|凭证号?|Serial|serial|Contract no\.|no\.|金额|号码段|订单号?)[:： ]{0,2}$")
 ID_NUMBER = re.compile(
     r"(?:身份证(?:件)?(?:号码|号)?|公民身份号码|证件(?:号码|号)?|持证|护照(?:号码|号)?|通行证(?:号码|号)?|ID (?:no|number|card)\.?|[Pp]assport(?: no\.?| number)?)[:： ]{0,3}"
     r"((?:\d{6} ?\d{8} ?\d{3}[\dXxＸｘ]|\d{15}|[A-Z]{1,2}\d{7,8})(?![\dA-Za-z]))"
 )
+#: An 18-digit number that its date and check character prove to be a personal one, whatever stands before it.
+_PLAIN_ID = re.compile(r"\d{6} ?\d{8} ?\d{3}[\dXxＸｘ](?![\dA-Za-z])")
+#: First two digits of the regions that give identity numbers.
+PROVINCES = "11 12 13 14 15 21 22 23 31 32 33 34 35 36 37 41 42 43 44 45 46 50 51 52 53 54 61 62 63 64 65 71 81 82".split()
 _HOUSE = r"\d{1,5}(?:-\d{1,4})?号(?:院|\d{1,3}(?:号楼|栋|幢|座)(?:\d{1,3}单元)?(?:\d{1,4}[室层])?|[A-Z]座(?:\d{1,4}室?)?|\d{1,3}[层室])?"
 ADDRESS = re.compile(
     r"(?:地址|住址|寄至|寄往|送至|送达|家住|现住|居住于|，住|,住|住在|位于|住)[:： ]{0,2}(?=[一-鿿])"
@@ -81,36 +95,55 @@ def _cut_email(m: re.Match) -> tuple[int, int] | None:
     return m.start(), m.start(3) + len(".".join(keep))
 
 
+def _phones(text: str) -> Iterator[tuple[int, int]]:
+    last = 0
+    for run in _NUMBER_RUN.finditer(text):
+        for at in range(max(run.start(), last), run.end()):
+            if text[at] in "(（+＋0０1１" and at >= last and (m := PHONE.match(text, at)):
+                last = m.end()
+                if not _NOT_PHONE.search(text, max(0, at - 14), at):
+                    yield m.span()
+
+
+def valid_id(number: str) -> bool:
+    """Whether 18 characters are an identity number: an existing day of 1900 to 2099 and the right check character."""
+    plain = unicodedata.normalize("NFKC", number).replace(" ", "").upper()
+    return "1900" <= plain[6:10] <= "2099" and _day(plain[6:14]) is not None and _check_digit(plain[:17]) == plain[17]
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(type, start, end) of each personal item of one text, in order, without overlaps."""
     found: list[tuple[int, int, int]] = []
-    if "@" in text or "＠" in text or "at]" in text or "at)" in text or "AT" in text or "at）" in text:
+    if any(sign in text for sign in _AT_SIGNS):
         for m in EMAIL.finditer(text):
             if span := _cut_email(m):
                 found.append((0, *span))
     for m in ID_NUMBER.finditer(text):
         found.append((1, *m.span(1)))
+    for m in _PLAIN_ID.finditer(text):
+        if valid_id(m[0]) and not (m.start() and (text[m.start() - 1].isdigit() or text[m.start() - 1].isascii() and text[m.start() - 1].isalpha())):
+            found.append((1, *m.span()))
     for m in ADDRESS.finditer(text):
         found.append((2, *m.span(1)))
-    for m in ADDRESS_EN.finditer(text):
-        found.append((2, *m.span(1)))
-    for m in PHONE.finditer(text):
-        if not _NOT_PHONE.search(text, max(0, m.start() - 14), m.start()):
-            found.append((3, *m.span()))
-    for pattern, several in PERSONS:
+    if any(word in text for word in ("Street", "Road", "Avenue", "Lane", "Ave", "St", "Rd", "Blvd")):
+        for m in ADDRESS_EN.finditer(text):
+            found.append((2, *m.span(1)))
+    found += [(3, s, e) for s, e in _phones(text)]
+    for words, pattern, several in PERSONS:
+        if words and not any(word in text for word in words):
+            continue
         for m in pattern.finditer(text):
             at = m.start(1)
             for name in m[1].split("、") if several else [m[1]]:
-                if name not in NOT_NAMES:
+                if not _NOT_A_NAME.match(name):
                     found.append((4, at, at + len(name)))
                 at += len(name) + 1
-    taken: list[tuple[str, int, int]] = []
-    used: list[tuple[int, int]] = []
+    used: list[tuple[int, int, int]] = []  # by place, without overlaps
     for kind, s, e in sorted(set(found), key=lambda x: (x[0], x[1], -x[2])):
-        if all(e <= a or s >= b for a, b in used):
-            used.append((s, e))
-            taken.append((TYPES[kind], s, e))
-    return sorted(taken, key=lambda x: x[1])
+        k = bisect.bisect_left(used, (s, e))
+        if (k == 0 or used[k - 1][1] <= s) and (k == len(used) or used[k][0] >= e):
+            used.insert(k, (s, e, kind))
+    return [(TYPES[kind], s, e) for s, e, kind in used]
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,28 +194,57 @@ def _permute_digits(digits: str, key: bytes, label: str) -> str:
     return str(permute(int(digits), 10 ** len(digits), key, f"{label}{len(digits)}")).zfill(len(digits)) if digits else ""
 
 
+def _permute_above(digits: str, low: int, high: int, key: bytes, label: str) -> str:
+    """Keyed permutation of the numbers of this length whose first digit lies in low..high; others permute all digits."""
+    if not digits or not low <= int(digits[0]) <= high:
+        return _permute_digits(digits, key, label)
+    unit = 10 ** (len(digits) - 1)
+    return str(permute(int(digits) - low * unit, (high - low + 1) * unit, key, f"{label}{low}{len(digits)}") + low * unit)
+
+
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
 
-def permute_date(day: datetime.date, key: bytes) -> datetime.date:
-    """Keyed permutation of the days of 1900 to 2099; others stay."""
-    size = (_LAST_DAY - _FIRST_DAY).days + 1
-    at = (day - _FIRST_DAY).days
-    return _FIRST_DAY + datetime.timedelta(permute(at, size, key, "date")) if 0 <= at < size else day
+def permute_date(day: datetime.date, key: bytes, first: datetime.date = _FIRST_DAY, last: datetime.date = _LAST_DAY) -> datetime.date:
+    """Keyed permutation of the days of 1900 to 2099 (or first to last); others stay."""
+    size = (last - first).days + 1
+    at = (day - first).days
+    return first + datetime.timedelta(permute(at, size, key, f"date{size}")) if 0 <= at < size else day
+
+
+def _permute_region(region: str, key: bytes) -> str:
+    """Keyed permutation of the regions made of a known province, a prefecture of 01 to 70 and a county of 01 to 99."""
+    prefecture, county = int(region[2:4]), int(region[4:])
+    if region[:2] not in PROVINCES or not 1 <= prefecture <= 70 or not county:
+        return _permute_digits(region, key, "region")
+    at = permute((PROVINCES.index(region[:2]) * 70 + prefecture - 1) * 99 + county - 1, len(PROVINCES) * 70 * 99, key, "region")
+    return f"{PROVINCES[at // 99 // 70]}{at // 99 % 70 + 1:02d}{at % 99 + 1:02d}"
+
+
+_CHECKS = "10X98765432"
 
 
 def _check_digit(first17: str) -> str:
     """Check character of an 18-digit identity number (ISO 7064 MOD 11-2)."""
     total = sum(int(d) * pow(2, 17 - i, 11) for i, d in enumerate(first17))
-    return "10X98765432"[total % 11]
+    return _CHECKS[total % 11]
+
+
+def _day(text: str) -> datetime.date | None:
+    try:
+        return datetime.date(int(text[:4]), int(text[4:6]), int(text[6:]))
+    except ValueError:
+        return None
 
 
 def pseudonym(kind: str, value: str, key: bytes) -> str:
-    """The same for equal values however they are written; of a number's own format where the number is valid.
+    """The same for equal values however they are written, different for different ones; of a number's own format.
 
-    Phones keep their kind (mobile prefix 1, or area code) and permute the rest; 18-digit identity numbers permute the
-    region, the birth date among dates and the serial, and get a valid check digit; other numbers permute all digits.
-    E-mail addresses, street addresses and names, which have no closed format, become a keyed tag.
+    Mobile numbers permute among those that begin with 13 to 19, fixed ones behind their area code, beginning with 2 to 8.
+    Identity numbers of 18 digits permute the region among known ones, the birth date among dates and the serial; the check
+    character is off the right one by as much as it was, so valid numbers stay valid and others don't meet them. Those of
+    15 digits permute region, date and serial; other numbers their digits. E-mail addresses, street addresses and names,
+    which have no closed format, become a keyed tag of 128 bits.
     """
     text = unicodedata.normalize("NFKC", value)
     if kind == "PHONE":
@@ -190,22 +252,25 @@ def pseudonym(kind: str, value: str, key: bytes) -> str:
         if not extension and (m := re.search(r"(?<=\d{7})-(\d{2,6})$", body)) and not re.match(r"\D*1", body):
             body, extension = body[: m.start()], m[1]
         d = re.sub(r"^(?:00)?86(?=1\d{10}$|0\d{9,11}$)", "", _digits(body))
-        head = 1 if re.fullmatch(r"1\d{10}", d) else 3 if re.match(r"0(?:10|2\d)", d) else 4
-        return d[:head] + _permute_digits(d[head:], key, "phone") + ("-" + _permute_digits(_digits(extension), key, "ext") if extension else "")
+        tail = "-" + _permute_digits(_digits(extension), key, "ext") if extension else ""
+        if re.fullmatch(r"1[3-9]\d{9}", d):
+            return "1" + _permute_above(d[1:], 3, 9, key, "mobile") + tail
+        head = 3 if re.match(r"0(?:10|2\d)", d) else 4
+        return d[:head] + _permute_above(d[head:], 2, 8, key, "phone") + tail
     if kind == "ID_NUMBER":
         plain = re.sub(r"\s", "", text).upper()
-        if re.fullmatch(r"\d{17}[\dX]", plain):
-            try:
-                day = permute_date(datetime.date(int(plain[6:10]), int(plain[10:12]), int(plain[12:14])), key)
-            except ValueError:
-                return _permute_digits(plain[:17], key, "id") + plain[17]
-            first = _permute_digits(plain[:6], key, "region") + day.strftime("%Y%m%d") + _permute_digits(plain[14:17], key, "serial")
-            return first + _check_digit(first)
+        if re.fullmatch(r"\d{17}[\dX]", plain) and (day := _day(plain[6:14])):
+            first = _permute_region(plain[:6], key) + permute_date(day, key).strftime("%Y%m%d") + _permute_digits(plain[14:17], key, "serial")
+            off = _CHECKS.index(plain[17]) - _CHECKS.index(_check_digit(plain[:17]))
+            return first + _CHECKS[(_CHECKS.index(_check_digit(first)) + off) % 11]
+        if re.fullmatch(r"\d{15}", plain) and (day := _day("19" + plain[6:12])):
+            moved = permute_date(day, key, datetime.date(1900, 1, 1), datetime.date(1999, 12, 31))
+            return _permute_region(plain[:6], key) + moved.strftime("%y%m%d") + _permute_digits(plain[12:], key, "serial15")
         return re.sub(r"\d+", lambda m: _permute_digits(m[0], key, "id"), plain)
     plain = re.sub(r"\s|　", "", text).casefold()
     if kind == "EMAIL":
         plain = re.sub(r"\[at\]|\(at\)|#at#", "@", plain)
-    return hashlib.blake2b(f"{kind}:{plain}".encode(), key=key, digest_size=5).hexdigest()
+    return hashlib.blake2b(f"{kind}:{plain}".encode(), key=key, digest_size=16).hexdigest()
 
 
 def redact(text: str, key: bytes) -> str:
@@ -220,8 +285,11 @@ def redact(text: str, key: bytes) -> str:
 def redact_texts(documents: DataFrame, key: bytes) -> DataFrame:
     """documents with text redacted (null stays null); every other column and row stays as it is.
 
-    The pseudonyms depend on the key and the value only, so equal values stay linked across documents and runs.
+    The pseudonyms depend on the key and the value only, so equal values stay linked across documents and runs of one key,
+    which must be secret (16 to 64 bytes; a ValueError says so).
     """
+    if not 16 <= len(key) <= 64:
+        raise ValueError("the key for pseudonyms must have 16 to 64 bytes")
     names = documents.columns
     at = names.index("text")
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
 from .addresses import pairs_of, same_places
 from .leaks import find_leaks, reordered, whole_runs
-from .mixing import mix, shares
+from .mixing import mix, mix_bounds, shares
 from .names import link_names, linked_pairs
 from .pii import personal_spans, redact_texts
 from .spans import shared_share, shared_spans
@@ -54,7 +56,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    key = spark.conf.get("clueforge.pii.key", "for tests only").encode()
+    """The key comes from clueforge.pii.key; where that is unset each run draws a secret one, so pseudonyms link within it only."""
+    named = spark.conf.get("clueforge.pii.key", None)
+    key = named.encode() if named else secrets.token_bytes(32)
     return redact_texts(table(spark, folder, "documents").select("doc_id", "text"), key)
 
 
@@ -98,6 +102,11 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_texts(table(spark, folder, "documents"), table(spark, folder, "split_limits"))
 
 
+def p9_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    documents, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
+    return mix_bounds(mix(documents, targets), documents, targets)
+
+
 _P1 = r"""
 WITH m AS (SELECT DISTINCT project_id p, bidder_id b FROM audit_records
            WHERE record_type IN ('bid', 'quote') AND regexp_matches(project_id, '\S') AND regexp_matches(bidder_id, '\S')),
@@ -132,13 +141,14 @@ WITH x AS (SELECT DISTINCT 'd' AS s, doc_id, 0::BIGINT AS page_number, text FROM
            SELECT *, lag(k) OVER (PARTITION BY s, doc_id, page_number ORDER BY k) AS prev FROM m)),
      f AS (SELECT s, doc_id, page_number, min(k) AS start_pos, max(k) + 120 AS end_pos FROM g GROUP BY s, doc_id, page_number, run)
 """
-QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p2_found": p2_found, "p2_share": p2_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_places": p5_places, "p6_found": p6_found, "p6_labels": p6_labels, "p8_found": p8_found, "p8_tiles": p8_tiles, "p8_reordered": p8_reordered, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p2_found": p2_found, "p2_share": p2_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_places": p5_places, "p6_found": p6_found, "p6_labels": p6_labels, "p8_found": p8_found, "p8_tiles": p8_tiles, "p8_reordered": p8_reordered, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_bounds": p9_bounds, "p10_pieces": p10_pieces}
 ORACLE = {
     "p2_found": _P2 + "SELECT doc_id, page_number, start_pos, end_pos FROM f",
     "p2_share": _P2
     + """SELECT doc_id, n_chars, coalesce(shared_chars, 0) AS shared_chars FROM (SELECT doc_id, sum(coalesce(length(text), 0))::BIGINT AS n_chars FROM (SELECT DISTINCT doc_id, text FROM documents) GROUP BY ALL)
 LEFT JOIN (SELECT doc_id, sum(end_pos - start_pos)::BIGINT AS shared_chars FROM f WHERE s = 'd' GROUP BY ALL) USING (doc_id)""",
     "p8_found": _P8,
+    "p9_bounds": "SELECT source, true AS within_caps, true AS within_a_document FROM (SELECT DISTINCT source FROM mix_targets) WHERE source IN (SELECT source FROM documents WHERE length(text) > 0)",
     "p1_found": _P1 + "SELECT a AS bidder_id_a, b AS bidder_id_b FROM f",
     "p1_odds": _P1
     + """SELECT a AS item_a, b AS item_b, n_ab, n_a, n_b, n_baskets, round(n_ab * n_baskets / (n_a * n_b), 6) AS lift,

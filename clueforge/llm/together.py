@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import dense_ranks
@@ -44,7 +44,7 @@ def count_codes(codes: DataFrame) -> DataFrame:
     return runs.repartition(F.col("code")).sortWithinPartitions("code").mapInArrow(_run_lengths, _RUNS)
 
 
-def pairs_together(baskets: DataFrame, basket: str, item: str, least: int = 5, lift: float = 4.0, block: int = 128) -> DataFrame:
+def pairs_together(baskets: DataFrame, basket: str, item: str, least: int = 5, lift: float = 4.0) -> DataFrame:
     """Pairs of items in the same basket at least `least` times and `lift` times as often as chance.
 
     Returns item_a, item_b (the smaller first, by code point), n_ab, n_a, n_b, n_baskets, lift, log_odds, log_odds_se;
@@ -52,41 +52,33 @@ def pairs_together(baskets: DataFrame, basket: str, item: str, least: int = 5, l
     repeated rows count once, an empty table gives no pair, other columns don't matter.
 
     An item found less than `least` times, or in more than 1/lift of all baskets, can be in no such pair and is left
-    out first. Baskets up to `block` items emit their pairs as packed codes (rank of a, rank of b). Larger baskets don't
-    count theirs so: there can be few of them in a basket table, so an item carries the list of those it is in, pairs
-    found elsewhere add the length of the lists' intersection, and a pair that only meets in large baskets must
-    share `least` of them, hence one past the first least - 1 of both lists, which is where those pairs are looked for.
-    Only the first least - 1 large baskets of each item are spared: in a later one, the items for which it is later
-    emit all their pairs, before they are made distinct.
+    out first. Each item sets aside its least - 1 largest baskets (all items in one order of baskets): two items that meet
+    `least` times meet in at least one basket that neither set aside. So a basket emits packed codes (rank of a,
+    rank of b) only of pairs in which one item kept it; the few largest baskets, which most of their items set aside,
+    emit hardly any. A pair's count is the length of its code's run and the baskets both set aside (at most least - 1 each).
     """
     clean = baskets.where(F.col(basket).rlike(r"(?U)\S") & F.col(item).rlike(r"(?U)\S"))
     members = durable(clean.select(F.col(basket).cast("string").alias("basket"), F.col(item).cast("string").alias("item")).distinct(), "members")
     n_baskets = members.select("basket").distinct().count()
     counted = members.groupBy("item").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("n") * lift <= n_baskets))
     items = durable(counted.join(dense_ranks(counted, "item"), "item"), "items")
-    kept = durable(members.join(items.select("item", "id"), "item").select("basket", "id"), "kept")
-    large = durable(kept.groupBy("basket").agg(F.count("*").alias("size")).where(F.col("size") > block), "large")
-    small = kept.join(large, "basket", "left_anti").groupBy("basket").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    codes = small.where(F.size("ids") > 1).select(
-        F.explode(
-            F.expr("flatten(transform(slice(ids, 1, size(ids) - 1), (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> shiftleft(x, 32) | y)))")
-        ).alias("code")
-    )
-    in_large = kept.join(large, "basket")
-    lists = durable(in_large.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(-F.col("size"), "basket"))).alias("l")), "lists")
-    late = lists.where(F.size("l") >= least).select("id", F.explode(F.expr(f"slice(l, {least}, size(l))")).alias("at"))
-    meet = late.alias("x").join(late.alias("y"), (F.col("x.at") == F.col("y.at")) & (F.col("x.id") < F.col("y.id")))
-    only_large = meet.select(F.expr("shiftleft(x.id, 32) | y.id").alias("code")).distinct()
-    counts = count_codes(codes.select("code", F.lit(1).cast("bigint").alias("n")).unionAll(only_large.select("code", F.lit(0).cast("bigint"))))
+    held = durable(members.join(items.select("item", "id"), "item").select("basket", "id"), "held")
+    sized = held.join(held.groupBy("basket").agg(F.count("*").alias("size")), "basket")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.col("size").desc(), "basket"))
+    aside = durable(sized.withColumn("nth", nth).where(F.col("nth") < least).select("id", "basket", F.lit(True).alias("aside")), "aside")
+    marked = durable(held.join(aside, ["id", "basket"], "left").select("basket", "id", F.coalesce("aside", F.lit(False)).alias("aside")), "marked")
+    x, y = marked.where("not aside").select("basket", "id").alias("x"), marked.alias("y")
+    met = x.join(y, F.col("x.basket") == F.col("y.basket")).where("x.id < y.id or (y.aside and x.id <> y.id)")
+    counts = count_codes(met.select(F.expr("shiftleft(least(x.id, y.id), 32) | greatest(x.id, y.id)").alias("code"), F.lit(1).cast("bigint").alias("n")))
     pairs = counts.select(F.shiftright("code", 32).alias("ia"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).alias("ib"), "n")
-    # No pair can reach `least` unless the lists of its items in large baskets make up for what the codes lack.
-    a, b = (lists.select(F.col("id").alias(f"i{s}"), F.col("l").alias(f"l{s}")) for s in "ab")
-    pairs = pairs.join(a, "ia", "left").join(b, "ib", "left")
-    none = F.coalesce(F.size(F.array_intersect("la", "lb")), F.lit(0))
-    pairs = pairs.select("ia", "ib", (F.col("n") + F.greatest(none, F.lit(0))).alias("n_ab")).where(F.col("n_ab") >= least)
     left = items.select(F.col("id").alias("ia"), F.col("item").alias("item_a"), F.col("n").alias("n_a"))
     right = items.select(F.col("id").alias("ib"), F.col("item").alias("item_b"), F.col("n").alias("n_b"))
-    out = pairs.join(left, "ia").join(right, "ib").where(F.col("n_ab") * n_baskets >= lift * F.col("n_a") * F.col("n_b"))
+    enough = lambda n: (n >= least) & (n * n_baskets >= lift * F.col("n_a") * F.col("n_b"))
+    pairs = pairs.join(left, "ia").join(right, "ib").where(enough(F.col("n") + (least - 1)))
+    lists = aside.groupBy("id").agg(F.collect_list("basket").alias("l"))  # at most least - 1 of each item
+    a, b = (lists.select(F.col("id").alias(f"i{s}"), F.col("l").alias(f"l{s}")) for s in "ab")
+    both = F.greatest(F.coalesce(F.size(F.array_intersect("la", "lb")), F.lit(0)), F.lit(0))
+    out = pairs.join(a, "ia", "left").join(b, "ib", "left").withColumn("n_ab", F.col("n") + both).where(enough(F.col("n_ab")))
     ab, a1, b1 = F.col("n_ab") + 0.5, F.col("n_a") - F.col("n_ab") + 0.5, F.col("n_b") - F.col("n_ab") + 0.5
     rest = n_baskets - F.col("n_a") - F.col("n_b") + F.col("n_ab") + 0.5
     return out.select(
