@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, spread
 
 #: Traditional and variant characters in addresses, and their simplified forms.
 _VARIANTS = str.maketrans(
@@ -50,7 +51,8 @@ _EN = re.compile(
     r"(?:(?:no\.? ?)?(\d+)#?,? +)?([a-z]+(?: [a-z]+)*?) (street|road|avenue|lane|ave|st|rd|ln|blvd|boulevard|alley)\b\.?(?: (?:no\.? ?)?(\d+)#?)?(.*)$"
 )
 PARTS = "province string, city string, district string, name string, kind string, number int, latin boolean"
-_PARSED = f"raw string, {PARTS}"
+_PARSED = f"raw string, {PARTS}, postcode string"
+_POSTCODE = re.compile(r"(?:邮编|邮政编码|P\.?C\.?|postcode)[:： ]{0,2}(\d{6})(?!\d)|^\s*(\d{6})[ ，,]", re.I)
 SKIPPED_KEYS = ("contact", "备注", "remark", "phone", "email")
 
 
@@ -91,8 +93,35 @@ def plain_address(raw: str) -> str:
     return re.sub("^中国", "", "".join(brackets)) + re.sub("^中国", "", s)
 
 
+#: Administrative units there can be, with room for typed errors that survive written_places.
+MOST_PLACES = 100_000
+
+
+def written_places(full: DataFrame) -> list[tuple]:
+    """(province, city, district, n) as written in full, without those that are one typed character from a far more frequent one.
+
+    A place goes where one of its units, the other two equal, is within one typed character of one at least twenty times as
+    frequent. Places are administrative units, of which a country has a few thousand however many the rows are; more than
+    MOST_PLACES raise a ValueError before anything is sent.
+    """
+    units = ["province", "city", "district"]
+    names = durable(full.groupBy(*units).agg(F.count("*").alias("n")), "places-written")
+    gone = None
+    for unit in units:
+        others = [u for u in units if u != unit]
+        keyed = names.select(*others, F.col(unit).alias("name"), "n", F.explode(_forms(F.col(unit))).alias("form"))
+        usual = keyed.select(*others, "form", F.col("name").alias("other"), F.col("n").alias("m"))
+        near = keyed.join(usual, [*others, "form"]).where("m >= 20 * n and name <> other").where(_within_one(F.col("name"), F.col("other")))
+        typed = near.select(*others, F.col("name").alias(unit)).select(*units).distinct()
+        gone = typed if gone is None else gone.unionByName(typed)
+    kept = names.join(gone.distinct(), units, "left_anti")
+    if (n := kept.count()) > MOST_PLACES:
+        raise ValueError(f"{n} administrative units are more than {MOST_PLACES}")
+    return [tuple(r) for r in kept.select(*units, "n").collect()]
+
+
 class Gazetteer:
-    """Place names seen fully written (province, city, district with their suffixes) more than once."""
+    """Place names seen fully written (province, city, district with their suffixes)."""
 
     def __init__(self, rows: list[tuple[str, str, str, int]]):
         self.provinces, self.cities, self.districts = ({r[i] for r in rows} for i in range(3))
@@ -172,12 +201,17 @@ def _full_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], ["province", "city", "district"])
 
 
+def _postcode(raw: str) -> str | None:
+    m = _POSTCODE.search(unicodedata.normalize("NFKC", raw))
+    return m and (m[1] or m[2])
+
+
 def _parse(g: Gazetteer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_())
-        names = ["raw", "province", "city", "district", "name", "kind", "number", "latin"]
+        types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string())
+        names = ["raw", "province", "city", "district", "name", "kind", "number", "latin", "postcode"]
         for batch in batches:
-            rows = [(raw, *p) for raw in batch.column(0).to_pylist() if (p := parse_address(raw, g))]
+            rows = [(raw, *p, _postcode(raw)) for raw in batch.column(0).to_pylist() if (p := parse_address(raw, g))]
             columns = zip(*rows) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
 
@@ -189,88 +223,142 @@ def deletions(name: str) -> set[str]:
     return {name} | {name[:i] + name[i + 1 :] for i in range(len(name))}
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+#: Characters that tell roads of one name apart (体育东路 and 体育西路 are two).
+BEARINGS = "东西南北中上下前后左右内外新老一二三四五六七八九十"
+_NO_BEARING = str.maketrans("", "", BEARINGS)
 
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
 
-    def join(self, i: int, j: int) -> None:
-        self.up[self.find(i)] = self.find(j)
+def other_bearing(a: str, b: str) -> bool:
+    """Whether two names of one length differ in such characters only."""
+    return a != b and len(a) == len(b) and a.translate(_NO_BEARING) == b.translate(_NO_BEARING) and sorted(a) != sorted(b)
+
 
+def _other_bearing(a: Column, b: Column) -> Column:
+    """other_bearing as an expression, for names one typed character apart."""
+    bare = lambda c: F.translate(c, BEARINGS, "")
+    return (F.length(a) == F.length(b)) & (bare(a) == bare(b)) & (F.array_sort(F.split(a, "")) != F.array_sort(F.split(b, "")))
 
-def usual_names(block: pd.DataFrame) -> pd.DataFrame:
-    """For each road spelling of one (city, kind): the far more frequent road one typed character away, or itself.
 
-    A spelling with a district looks at roads of that district only.
+def _within_one(a: Column, b: Column) -> Column:
+    """within_one as an expression."""
+    swapped = lambda i: F.concat(F.substr(a, F.lit(1), i - 1), F.substr(a, i + 1, F.lit(1)), F.substr(a, i, F.lit(1)), F.substr(a, i + 2)) == b
+    exchanged = (F.length(a) == F.length(b)) & (F.length(a) > 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), swapped)
+    return (F.levenshtein(a, b, 1) >= 0) | exchanged
+
+
+def _forms(name: Column) -> Column:
+    """deletions as an expression."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1)))
+    return F.array_distinct(F.concat(F.array(name), cut))
+
+
+def usual_names(roads: DataFrame) -> DataFrame:
+    """roads (city, district, name, kind, latin, n) with usual: the far more frequent road one typed character away, or itself.
+
+    A deletion-neighbourhood index: each spelling is joined with those of its city and kind that share a form with one
+    character left out. A spelling with a district looks at roads of that district only.
     """
-    rows = list(block[["district", "name", "latin", "n"]].itertuples(index=False, name=None))
-    index = defaultdict(list)
-    for i, (district, name, latin, _) in enumerate(rows):
-        if district and not latin:
-            for d in deletions(name):
-                index[d].append(i)
-    usual = []
-    for district, name, latin, n in rows:
-        others = set() if latin else {i for d in deletions(name) for i in index[d]}
-        fit = [(rows[i][3], rows[i][1]) for i in others if rows[i][3] >= max(3, 3 * n) and district in ("", rows[i][0]) and within_one(rows[i][1], name)]
-        usual.append(max(fit)[1] if fit else name)
-    out = block[["city", "district", "name", "kind", "latin"]].copy()
-    out["usual"] = usual
-    return out
+    keyed = roads.where("not latin").withColumn("form", F.explode(_forms(F.col("name"))))
+    x = keyed.select("city", "kind", "form", "district", "name", "n")
+    y = keyed.where("district <> ''").select("city", "kind", "form", F.col("district").alias("d"), F.col("name").alias("other"), F.col("n").alias("m"))
+    met = x.join(y, ["city", "kind", "form"]).where("m >= greatest(3, 3 * n) and (district = '' or district = d) and name <> other").where(_within_one(F.col("name"), F.col("other")) & ~_other_bearing(F.col("name"), F.col("other")))
+    best = met.groupBy("city", "kind", "district", "name").agg(F.max(F.struct("m", "other")).alias("b")).select("city", "kind", "district", "name", F.col("b.other").alias("usual"), F.lit(False).alias("latin"))
+    on = ["city", "district", "name", "kind", "latin"]
+    return roads.join(best, on, "left").select(*on, F.coalesce("usual", "name").alias("usual"))
 
 
-def place_heads(rows: list[tuple]) -> list[str]:
-    """For each (district, name, latin, n, usual) of one city, number and kind a label of its road.
+#: Cost of a road of its own, of one without a district, of a typed character, and of a typed error more frequent than its road.
+OPEN, NO_DISTRICT, TYPED, RARER = 3.0, 1.0, 1.0, 0.5
 
-    Spellings of one district are joined where they share a deletion form and differ by one character at most;
-    Latin spellings where the letters agree. A spelling without a district is then assigned to the one road it fits
-    best: an equal name before a mistyped one, the more frequent road before the rarer. Different districts never join.
+
+def _centres(rows: list[tuple]) -> list[dict[int, float]]:
+    """For each spelling the spellings it may stand for, with the cost; itself among them.
+
+    Vetoes: a spelling with a district stands only for one of the same district, and none for one of another bearing. Equal names, equal usual names and
+    equal Latin letters cost nothing, a typed character TYPED.
     """
-    union, index = _Union(len(rows)), defaultdict(list)
+    index = defaultdict(list)
     for i, (_, name, latin, _, usual) in enumerate(rows):
-        if latin:
-            forms = {("l", name)}
-        else:
-            forms = {("c", d) for d in deletions(name)} | {("u", usual)} | {("l", s) for x in (name, usual) if (s := spell(x))}
+        forms = {("l", name)} if latin else {("c", d) for d in deletions(name)} | {("u", usual)} | {("l", s) for x in (name, usual) if (s := spell(x))}
         for form in forms:
             index[form].append(i)
-    near: dict[int, set[int]] = defaultdict(set)
+    options: list[dict[int, float]] = [{i: 0.0} for i in range(len(rows))]
     for (script, _), members in index.items():
         for i in members:
             for j in members:
-                if i < j and (script in "lu" or within_one(rows[i][1], rows[j][1])):
-                    near[i].add(j)
-                    near[j].add(i)
-    for i, others in near.items():
-        for j in others:
-            if rows[i][0] and rows[i][0] == rows[j][0]:
-                union.join(i, j)
-    weight: Counter = Counter()
-    for i, r in enumerate(rows):
-        if r[0]:
-            weight[union.find(i)] += r[3]
-    spelled = [r[1] if r[2] else spell(r[4]) for r in rows]
-    for i, r in enumerate(rows):
-        if r[0]:
-            continue
-        same = lambda j: rows[j][1] == r[1] or (spelled[i] is not None and spelled[i] == spelled[j])  # noqa: B023, E731
-        fits = sorted(((same(j), weight[union.find(j)], rows[j][1]), j) for j in near[i] if rows[j][0])
-        if fits:
-            union.join(i, fits[-1][1])
-        else:
-            for j in near[i]:
-                if not rows[j][0] and not any(rows[k][0] for k in near[j]):
-                    union.join(i, j)
-    heads: dict[int, str] = {}
-    for i, r in enumerate(rows):
-        root, label = union.find(i), r[1] + "|" + (r[0] or "")
-        heads[root] = min(heads.get(root, label), label)
-    return [heads[union.find(i)] for i in range(len(rows))]
+                if i == j or (rows[i][0] and rows[i][0] != rows[j][0]):
+                    continue
+                if script in "lu" or (within_one(rows[i][1], rows[j][1]) and not other_bearing(rows[i][1], rows[j][1])):
+                    cost = (0.0 if script in "lu" or rows[i][1] == rows[j][1] else TYPED) + (RARER if rows[j][3] < rows[i][3] else 0.0) - 1e-6 * math.log1p(rows[j][3])
+                    options[i][j] = min(cost, options[i].get(j, math.inf))
+    return options
+
+
+def assign_exactly(options: list[dict[int, float]], opening: list[float]) -> list[int]:
+    """The centre of each node: least sum of the costs of the assignment and of opening the centres used.
+
+    Branch and bound over nodes, those with the fewest choices first; the bound is what the rest costs with every centre
+    open. A centre is its own. The first of equally good assignments in the order of nodes and costs is taken.
+    """
+    order = sorted(range(len(options)), key=lambda i: (len(options[i]), i))
+    least = [min(options[i].values()) for i in order]
+    rest = [sum(least[k:]) for k in range(len(order) + 1)]
+    best, chosen = [math.inf], [list(range(len(options)))]
+    taken: dict[int, int] = {}
+    opened: dict[int, int] = {}
+
+    def go(k: int, cost: float) -> None:
+        if cost + rest[k] >= best[0] - 1e-12:
+            return
+        if k == len(order):
+            if all(taken[c] == c for c in opened):
+                best[0], chosen[0] = cost, [taken[i] for i in range(len(options))]
+            return
+        i = order[k]
+        ways = sorted((options[i][c] + (0.0 if c in opened else opening[c]), c not in opened, c) for c in options[i])
+        for price, _, c in ways:
+            if (c != i and taken.get(c, c) != c) or (c != i and i in opened):
+                continue
+            taken[i] = c
+            opened[c] = opened.get(c, 0) + 1
+            go(k + 1, cost + price)
+            opened[c] -= 1
+            if not opened[c]:
+                del opened[c]
+            del taken[i]
+
+    go(0, 0.0)
+    return chosen[0]
+
+
+def place_heads(rows: list[tuple]) -> list[str]:
+    """For each (district, name, latin, n, usual) of one city, number and kind a label of its road.
+
+    Each spelling stands for one road: the assignment of least cost (assign_exactly), found on its own in every connected
+    part. Spellings of different districts never share a road.
+    """
+    options = _centres(rows)
+    up = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, choices in enumerate(options):
+        for j in choices:
+            up[find(i)] = find(j)
+    parts = defaultdict(list)
+    for i in range(len(rows)):
+        parts[find(i)].append(i)
+    heads = [""] * len(rows)
+    for part in parts.values():
+        at = {i: k for k, i in enumerate(part)}
+        opening = [OPEN + (0.0 if rows[i][0] else NO_DISTRICT) - 1e-6 * math.log1p(rows[i][3]) for i in part]
+        for i, c in zip(part, assign_exactly([{at[j]: x for j, x in options[i].items()} for i in part], opening)):
+            heads[i] = rows[part[c]][1] + "|" + (rows[part[c]][0] or "")
+    return heads
 
 
 def assign_places(group: pd.DataFrame) -> pd.DataFrame:
@@ -292,14 +380,14 @@ def same_places(records: DataFrame, key: str = "record_id", extra: str = "extra"
     """(key, city, road, kind, number) of each record whose map `extra` holds an address; equal rows mean the same place.
 
     Every value of the map is tried, except under keys that name a contact or a remark. Building, floor and room don't
-    count; road kind and house number must agree; city and district must agree where both are written, and a missing city
-    is taken from the district. Addresses without a road, a number or any locality give no row, null and empty maps none;
+    count; road kind and house number must agree; city and district must agree where both are written, a missing city
+    is taken from the district, and where both are missing they are what the written postcode mostly goes with. Addresses without a road, a number or any locality give no row, null and empty maps none;
     a record may have several rows; repeated rows count once.
 
     Each distinct address text is parsed once, so a text that a third of all rows share costs one parse. The names of
-    provinces, cities and districts come from the fully written addresses of all data; they are administrative units, whose
-    number doesn't grow with the rows. Groups for the assignment (a city and a 64th of the house numbers) hold distinct
-    spellings, not records.
+    provinces, cities and districts come from the fully written addresses of all data (written_places). Spellings of a
+    road are joined by their deletion forms; groups for the assignment (a city and a 64th of the house numbers) hold
+    distinct spellings, not records.
     """
     texts = (
         records.select(F.col(key).alias("__key"), F.explode(extra).alias("k", "raw"))
@@ -309,18 +397,19 @@ def same_places(records: DataFrame, key: str = "record_id", extra: str = "extra"
     )
     texts = durable(texts, "address-texts")
     counted = texts.groupBy("raw").agg(F.count("*").alias("n"))
-    spread = counted.select("raw").repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "raw")
-    full = spread.mapInArrow(_full_names, "province string, city string, district string")
-    names = full.groupBy("province", "city", "district").agg(F.count("*").alias("n"))
-    listed = [tuple(r) for r in names.where("n > 1").collect()] or [tuple(r) for r in names.collect()]
-    parsed = durable(spread.mapInArrow(_parse(Gazetteer(listed)), _PARSED), "addresses")
-    parts = parsed.where("city is not null").withColumn("district", F.coalesce("district", F.lit("")))
+    tight = spread(counted.select("raw"), "raw")
+    full = tight.mapInArrow(_full_names, "province string, city string, district string")
+    parsed = durable(tight.mapInArrow(_parse(Gazetteer(written_places(full))), _PARSED), "addresses")
+    by_code = parsed.where("postcode is not null and city is not null and district is not null").groupBy("postcode", "city", "district").agg(F.count("*").alias("n"))
+    usual_of = by_code.groupBy("postcode").agg(F.max(F.struct("n", "city", "district")).alias("c"))
+    coded = parsed.join(usual_of, "postcode", "left").withColumn("coded", F.col("city").isNull() & F.col("district").isNull())
+    coded = coded.withColumns({c: F.when(F.col("coded"), F.col(f"c.{c}")).otherwise(F.col(c)) for c in ("city", "district")})
+    parts = coded.where("city is not null").withColumn("district", F.coalesce("district", F.lit("")))
     spellings = parts.join(counted, "raw").groupBy("city", "district", "name", "kind", "number", "latin").agg(F.sum("n").alias("n"))
-    roads = spellings.groupBy("city", "district", "name", "kind", "latin").agg(F.sum("n").alias("n"))
-    usual = roads.groupBy("city", "kind").applyInPandas(usual_names, "city string, district string, name string, kind string, latin boolean, usual string")
-    spellings = spellings.join(usual, ["city", "district", "name", "kind", "latin"])
+    roads = durable(spellings.groupBy("city", "district", "name", "kind", "latin").agg(F.sum("n").alias("n")), "roads")
+    spellings = spellings.join(usual_names(roads), ["city", "district", "name", "kind", "latin"]).withColumn("block", F.pmod("number", F.lit(64)))
     schema = "city string, district string, name string, kind string, number int, latin boolean, road string"
-    places = durable(spellings.groupBy("city", F.pmod("number", F.lit(64))).applyInPandas(assign_places, schema), "places")
+    places = durable(spread(spellings, "city", "block").groupBy("city", "block").applyInPandas(assign_places, schema), "places")
     on = ["city", "district", "name", "kind", "number", "latin"]
     return texts.join(parts, "raw").join(places, on).select(F.col("__key").alias(key), "city", "road", "kind", "number").distinct()
 

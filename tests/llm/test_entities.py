@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from clueforge.llm.addresses import Gazetteer, deletions, pairs_of, parse_address, same_places, within_one
+from clueforge.llm.addresses import Gazetteer, assign_exactly, deletions, pairs_of, parse_address, place_heads, same_places, within_one
 from clueforge.llm.names import link_names, linked_pairs, name_forms, split_company, split_latin, split_person
 
 G = Gazetteer([("枫泽", "阁荻", "荷静祥", 9), ("松塔", "桐平", "辰蓼霞", 9), ("松塔", "桐平", "丹宁鹭", 9)])
@@ -53,6 +53,45 @@ def test_places_typos_vetoes_and_missing_parts(spark):
     assert places(spark, []).count() == 0 and places(spark, [("a", None), ("b", {})]).count() == 0
 
 
+def test_assignment_costs_least():
+    """Equal to trying every assignment in which each centre is its own."""
+    rnd = random.Random(8)
+    for _ in range(150):
+        n = rnd.randrange(1, 6)
+        options = [{i: 0.0} | {j: rnd.choice([0.0, 1.0, 1.5]) for j in range(n) if j != i and rnd.random() < 0.5} for i in range(n)]
+        opening = [rnd.choice([1.0, 3.0, 4.0]) for _ in range(n)]
+        cost = lambda a: sum(options[i][c] for i, c in enumerate(a)) + sum(opening[c] for c in set(a))  # noqa: B023, E731
+        every = [a for a in itertools.product(*[list(o) for o in options]) if all(a[c] == c for c in a)]
+        got = assign_exactly(options, opening)
+        assert tuple(got) in every and cost(got) == pytest.approx(min(map(cost, every)))
+
+
+def test_an_earlier_join_does_not_decide_later_ones():
+    """A chain a-b-c of typed errors is not one road where both ends are roads of their own; districts are a veto."""
+    rows = [("甲", "铁福雅", False, 50, "铁福雅"), ("甲", "铁福桥", False, 1, "铁福桥"), ("甲", "银福桥", False, 50, "银福桥"), ("乙", "铁福雅", False, 50, "铁福雅"), ("", "银福桥", False, 2, "银福桥")]
+    heads = place_heads(rows)
+    assert heads[0] != heads[2] and heads[0] != heads[3] and heads[4] == heads[2] and heads[1] in (heads[0], heads[2])
+    many = [("甲", "铁福雅", False, 99, "铁福雅")] + [("甲", "铁福" + chr(0x4E00 + k), False, 1, "铁福雅") for k in range(60)]
+    assert len(set(place_heads(many))) == 1
+
+
+def test_places_outside_the_test_tables(spark):
+    """Hand-labelled addresses of real cities, with a postcode in place of the locality, and a mistyped district."""
+    full = ["广东省广州市天河区体育东路138号", "湖北省武汉市洪山区珞喻路1037号", "四川省成都市武侯区人民南路17号", "湖南省长沙市岳麓区麓山南路932号"]
+    groups = [
+        [full[0], "邮编510620 广东省广州市天河区体育东路138号5楼", "邮编510620 体育东路138号", "广州天河体育东路一百三十八号", "体育东路138号1201室（广东省广州市天河区）", "广州市天河区体肓东路138号"],
+        [full[1], "武汉市洪山区珞喻路1037号", "洪山区珞喻路1037号图书馆", "中国湖北省武汉市洪山区珞瑜路1037号"],
+        [full[2], "成都市武侯区人民南路十七号", "四川 成都市 武侯 人民南路17号", "17号,人民南路,武侯区,成都市,四川省"],
+        [full[3], "长沙市岳麓区麓山南路932号", "岳麓区麓山南路門牌932號"],
+    ]
+    rows = [(f"{g}-{k}", a) for g, members in enumerate(groups) for k, a in enumerate(members)]
+    rows += [("x1", "广东省广州市天河区体育西路138号"), ("x2", "广东省广州市天河区体育东路183号"), ("x3", "湖南省长沙市岳麓区珞喻路1037号")] + [(f"f{k}{n}", a.rsplit("路", 1)[0] + f"路{n}号") for k, a in enumerate(full) for n in (2, 5, 8)]
+    got = {tuple(r) for r in pairs_of(places(spark, rows)).collect()}
+    want = {p for members in groups for p in itertools.combinations(sorted(f"{groups.index(members)}-{k}" for k in range(len(members))), 2)}
+    assert len(got & want) >= 0.9 * len(want), want - got
+    assert not {p for p in got - want if p[0][0] in "0123" or p[1][0] in "x"}
+
+
 def test_names_apart():
     towns = {"平蓼", "暮平"}
     assert split_company("平蓼市力限工物业服务(集团)有限公司", towns) == ("平蓼", "力限工", "物业服务", "(集团)有限公司")
