@@ -2,43 +2,58 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chars import filled
-from ..functions.times import with_instant
-from ..session import durable
+from ..functions.times import FORMS, MONTHS, ZONES, with_instant
+from ..session import durable, scratch_dir, spread
 
 DEFAULT_ZONE, DEFAULT_ORDER = "Asia/Shanghai", "ymd"
 KEYS = ["raw", "zone", "date_order"]
 
 
+_ENTRY = "raw string, zone string, date_order string, utc_us bigint"
+#: Changes with anything that decides what a text means, so that a kept dictionary never answers for other rules.
+RULES = hashlib.sha256(repr((FORMS, ZONES, MONTHS, 1)).encode()).hexdigest()[:12]
+
+
 class InstantDictionary:
-    """Distinct (raw, zone, date_order) with their instant: each is parsed once and kept in a parquet folder.
+    """Distinct (raw, zone, date_order) with their instant: each is parsed once and kept in a folder of parquet batches.
 
-    path: a folder that outlives the session, to which every call appends only values it hasn't met; without it
-    the dictionary lives in the shared scratch folder for this call. Values that don't parse are kept as null, so
-    they are not tried again.
+    path: a folder that outlives the session (by default one in the shared scratch folder). Every call writes the
+    values it hasn't met as a batch of its own, so runs at the same time don't disturb each other; a value that two of
+    them wrote counts once. Values that don't parse are kept as null, so they are not tried again.
     """
 
     def __init__(self, path: str | None = None):
         self.path = path
 
     def resolve(self, values: DataFrame) -> DataFrame:
-        """values: the columns KEYS, repeated at will. Returns each distinct key once with utc_us."""
+        """values: the columns KEYS, repeated at will. Returns each distinct key of them once with utc_us."""
         spark = values.sparkSession
+        path = f"{self.path or scratch_dir(spark) + '/instants'}/{RULES}"
         wanted = values.select(*KEYS).distinct()
-        if self.path is None:
-            return durable(with_instant(wanted, "raw", "zone", "date_order", "utc_us"), "instants")
-        schema = "raw string, zone string, date_order string, utc_us bigint"
-        known = spark.read.schema(schema).parquet(self.path) if self._exists(spark) else spark.createDataFrame([], schema)
-        fresh = durable(with_instant(wanted.join(known, KEYS, "left_anti"), "raw", "zone", "date_order", "utc_us"), "fresh-instants")
-        fresh.write.mode("append").parquet(self.path)
-        return spark.read.schema(schema).parquet(self.path)
-
-    def _exists(self, spark) -> bool:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        held = self._held(spark, path)
+        if held is not None:
+            wanted = durable(wanted, "wanted-instants")
+            known = held.join(wanted, KEYS, "left_semi").groupBy(*KEYS).agg(F.min("utc_us").alias("utc_us"))
+            known = durable(known, "known-instants")
+            wanted = wanted.join(known, KEYS, "left_anti")
+        batch = f"{path}/batch-{uuid.uuid4().hex}"
+        with_instant(spread(wanted, *KEYS), "raw", "zone", "date_order", "utc_us").write.option("compression", "zstd").parquet(batch)
+        fresh = spark.read.schema(_ENTRY).parquet(batch)
+        return fresh if held is None else fresh.unionByName(known)
+
+    def _held(self, spark, path: str) -> DataFrame | None:
+        """All finished batches."""
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch-*/_SUCCESS")
+        done = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
+        batches = [str(f.getPath().getParent()) for f in done or []]
+        return spark.read.schema(_ENTRY).parquet(*batches) if batches else None
 
 
 def normalise_times(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.instants import normalise_times
+from ..operators.instants import InstantDictionary, normalise_times
 from ..operators.units import hidden_units, to_common_unit, typed_sums, unit_changes
 from ..session import table
 from .general_sql import P3, P7
@@ -28,7 +28,8 @@ def p3_hidden_units(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     records, sources = table(spark, folder, "audit_records"), table(spark, folder, "source_systems")
-    found = normalise_times(records, sources, TIME_FIELDS)
+    dictionary = InstantDictionary(spark.conf.get("clueforge.instants.path", None))
+    found = normalise_times(records, sources, TIME_FIELDS, dictionary=dictionary)
     return found.where(F.col("utc_us").isNotNull()).select("record_id", "field_name", "utc_us").distinct()
 
 

@@ -27,11 +27,13 @@ def local_session(name: str = "clueforge", cores: str = "8", partitions: int = 8
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset, a temporary one on a local master (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = context.get() if context.isDefined() else None
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="clueforge-")
         spark.conf.set("spark.checkpoint.dir", named)
