@@ -47,8 +47,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_share(spark: SparkSession, folder: str) -> DataFrame:
-    documents = _text_tables(spark, folder)[0]
-    return shared_share(documents, shared_spans(documents, 120)).drop("part")
+    documents, pages = (shared_share(t, shared_spans(t, 120)) for t in _text_tables(spark, folder))
+    return documents.unionAll(pages).withColumnRenamed("part", "page_number")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,8 +145,10 @@ QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p2_found": p2_found, "p2_s
 ORACLE = {
     "p2_found": _P2 + "SELECT doc_id, page_number, start_pos, end_pos FROM f",
     "p2_share": _P2
-    + """SELECT doc_id, n_chars, coalesce(shared_chars, 0) AS shared_chars FROM (SELECT doc_id, sum(coalesce(length(text), 0))::BIGINT AS n_chars FROM (SELECT DISTINCT doc_id, text FROM documents) GROUP BY ALL)
-LEFT JOIN (SELECT doc_id, sum(end_pos - start_pos)::BIGINT AS shared_chars FROM f WHERE s = 'd' GROUP BY ALL) USING (doc_id)""",
+    + """SELECT t.doc_id, t.page_number, n_chars, coalesce(shared_chars, 0) AS shared_chars FROM (SELECT s, doc_id, page_number, sum(coalesce(length(text), 0))::BIGINT AS n_chars FROM (
+SELECT DISTINCT 'd' AS s, doc_id, 0::BIGINT AS page_number, text FROM documents UNION ALL SELECT DISTINCT 'p', doc_id, page_number::BIGINT, cleaned_text FROM pages) GROUP BY ALL) t
+LEFT JOIN (SELECT s, doc_id, page_number, sum(end_pos - start_pos)::BIGINT AS shared_chars FROM f GROUP BY ALL) c
+ON t.s = c.s AND t.doc_id IS NOT DISTINCT FROM c.doc_id AND t.page_number IS NOT DISTINCT FROM c.page_number""",
     "p8_found": _P8,
     "p9_bounds": "SELECT source, true AS within_caps, true AS within_a_document FROM (SELECT DISTINCT source FROM mix_targets) WHERE source IN (SELECT source FROM documents WHERE length(text) > 0)",
     "p1_found": _P1 + "SELECT a AS bidder_id_a, b AS bidder_id_b FROM f",

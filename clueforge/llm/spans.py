@@ -75,7 +75,7 @@ def _windows(least: int):
         for batch in batches:
             for part in _slices(batch, 3):
                 chars, starts = points(part.column(3).to_pylist())
-                h = window_hashes(chars, least)
+                h, check = window_hashes(chars, least), window_hashes(chars, least, seed=1)
                 wanted = np.zeros(len(chars) + 1, np.int32)
                 marks = part.column(4)
                 rows = np.repeat(np.arange(len(marks)), np.diff(marks.offsets.to_numpy()))
@@ -88,7 +88,7 @@ def _windows(least: int):
                 at = np.flatnonzero(np.cumsum(wanted[:-1])[: len(h)] > 0)
                 owner = np.searchsorted(starts, at, "right") - 1
                 local = (at - starts[owner]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*_take(part, owner), pa.array(local), pa.array(h[at].view(np.int64))], [*ROW, "at", "w"])
+                yield pa.RecordBatch.from_arrays([*_take(part, owner), pa.array(local), pa.array(h[at].view(np.int64)), pa.array((check[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))], [*ROW, "at", "w", "check"])
 
     return run
 
@@ -113,9 +113,9 @@ def _runs(least: int):
     return run
 
 
-def _elsewhere(rows: DataFrame, code: str) -> DataFrame:
+def _elsewhere(rows: DataFrame, *code: str) -> DataFrame:
     """Codes found under more than one doc_id; partial minimum and maximum keep hot codes small before the shuffle."""
-    return rows.groupBy(code).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select(code)
+    return rows.groupBy(*code).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select(*code)
 
 
 def shared_spans(texts: DataFrame, least: int = 120) -> DataFrame:
@@ -129,16 +129,19 @@ def shared_spans(texts: DataFrame, least: int = 120) -> DataFrame:
     The hash of every window of `least` / 2 is computed, and the smallest of each neighbourhood are marks: each span of
     `least` holds one, so windows of `least` need a count only where a mark is repeated under another doc_id.
     There all of them are hashed and counted, and those found elsewhere merge to runs. No pairs of records are formed.
+    A window counts as found elsewhere by 96 bits, a hash and part of a second one of other constants: among 10**14 windows
+    less than one pair in ten runs over the corpus is expected to agree by chance. Marks and windows are hashed once
+    and written, because both the count and the join back read them.
     """
     rows = texts.where(F.col("doc_id").isNotNull() & (F.char_length("text") >= least)).select("doc_id", "part", F.xxhash64("text").alias("v"), "text")
-    marks = rows.mapInArrow(_marks(least), "doc_id bigint, part bigint, v bigint, at int, mark bigint")
-    repeated = durable(_elsewhere(marks, "mark"), "marks")
+    marks = durable(rows.mapInArrow(_marks(least), "doc_id bigint, part bigint, v bigint, at int, mark bigint"), "marks")
+    repeated = durable(_elsewhere(marks, "mark"), "repeated")
     found = marks.join(broadcast_if(repeated, repeated.count(), MOST_SENT), "mark", "left_semi")
     places = durable(found.groupBy(*ROW).agg(F.collect_set("at").alias("ats")), "places")
     held = places.agg(F.sum(F.size("ats") + 4)).first()[0] or 0
     windows = rows.join(broadcast_if(places, held, MOST_SENT), ROW).select(*ROW, "text", "ats")
-    windows = windows.mapInArrow(_windows(least), "doc_id bigint, part bigint, v bigint, at int, w bigint")
-    hits = windows.join(_elsewhere(windows, "w"), "w", "left_semi")
+    windows = durable(windows.mapInArrow(_windows(least), "doc_id bigint, part bigint, v bigint, at int, w bigint, check int"), "windows")
+    hits = windows.join(_elsewhere(windows, "w", "check"), ["w", "check"], "left_semi")
     return (
         hits.groupBy(*ROW)
         .agg(F.collect_list("at").alias("ats"))
