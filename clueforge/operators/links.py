@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chars import filled
 from ..functions.parse import ip_prefix, present, strict_time, valid_ipv4
 from ..schemas import CLOSE_TIME_S, LINK_SIGNALS, PUBLIC_EXIT_ROLES, SUBNET_WINDOW_S
-from .pairs import PAIR, pairs_in, score_pairs, status_frame
+from .pairs import PAIR, pairs_in, score_pairs, signal_rows, status_frame
 
 #: signal -> field, for signals on a value two bidders share.
 SHARED = {
@@ -17,21 +20,32 @@ SHARED = {
 TIMES = {"created_time_close": ("created_at",), "modified_time_close": ("modified_at",), "upload_time_close": ("uploaded_at", "event_time")}
 
 
-def link_rows(records: DataFrame) -> DataFrame:
+def public_exit(records: DataFrame, excluded_ips: tuple[str, ...] = ()) -> Column:
+    """Whether a row's address is one that many bidders use by right: listed, flagged, of such a role, or so by its extra columns."""
+    extra = lambda k: filled(F.lower(F.trim(F.try_element_at("extra", F.lit(k)))))
+    typed, flag = [filled(F.lower(F.trim("network_role")))], F.lit(False)
+    if "extra" in records.columns:
+        typed += [extra(k) for k in ("network_role", "ip_role", "owner_type")]
+        flag = F.coalesce(extra("is_public_exit"), extra("public_exit")).isin("1", "true", "yes", "是")
+    known = [F.coalesce("is_public_exit", F.lit(False)), F.coalesce(*typed).isin(*PUBLIC_EXIT_ROLES), flag, F.lower(F.trim("ip_address")).isin(*[ip.lower() for ip in excluded_ips])]
+    return reduce(lambda a, b: a | b, [F.coalesce(k, F.lit(False)) for k in known])
+
+
+def link_rows(records: DataFrame, excluded_ips: tuple[str, ...] = ()) -> DataFrame:
     """Rows with project and bidder: linkable values, times, and whether the row is a public exit.
 
     A column the table doesn't have counts as missing."""
     have = set(records.columns)
     value = lambda c: F.when(present(F.col(c)), F.lower(F.trim(c))) if c in have else F.lit(None).cast("string")
     time = lambda c: strict_time(F.col(c)) if c in have else F.lit(None).cast("timestamp")
-    exit_ = F.coalesce("is_public_exit", F.lit(False)) | F.coalesce(F.lower(F.trim("network_role")).isin(*PUBLIC_EXIT_ROLES), F.lit(False))
     out = records.where(present(F.col("project_id")) & present(F.col("bidder_id")))
     return out.select(
+        "record_id",
         "project_id",
         "bidder_id",
         *[value(c).alias(c) for c in SHARED.values()],
         *[time(c).alias(c) for c in ("created_at", "modified_at", "uploaded_at", "event_time")],
-        exit_.alias("public_exit"),
+        public_exit(records, excluded_ips).alias("public_exit"),
     )
 
 
@@ -88,23 +102,36 @@ def link_instances(rows: DataFrame) -> DataFrame:
     return shared.unionByName(subnet).unionByName(close)
 
 
-def link_frame(rows: DataFrame) -> DataFrame:
-    """Status of the eleven signals: missing where either bidder has no value, then excluded where all of one's are public exits."""
+def _pair_rows(rows: DataFrame) -> DataFrame:
     pairs = pairs_in(rows)
-    both = {**SHARED, "shared_subnet_time": "subnet_key"}
     t = F.coalesce("event_time", "uploaded_at")
-    keyed = rows.withColumn("subnet_key", F.when(valid_ipv4(F.col("ip_address")) & t.isNotNull(), F.col("ip_address")))
-    for signal, fields in TIMES.items():
-        keyed = keyed.withColumn(signal, F.coalesce(*fields).cast("string"))
-        both[signal] = signal
-    entries = F.array(*[F.struct(F.lit(s).alias("signal_type"), F.col(c).isNotNull().alias("has"), F.lit(s in ("shared_full_ip", "shared_subnet_time")).alias("net")) for s, c in both.items()])
-    long = keyed.select("project_id", "bidder_id", "public_exit", F.explode(entries).alias("e")).where("e.has")
-    side = long.groupBy("project_id", "bidder_id", "e.signal_type").agg(F.bool_or(~(F.col("public_exit") & F.col("e.net"))).alias("usable"))
-    a, b = (side.select("project_id", "signal_type", F.col("bidder_id").alias(f"bidder_{s}"), F.col("usable").alias(f"usable_{s}")) for s in "ab")
-    available = pairs.join(a, ["project_id", "bidder_a"]).join(b, ["project_id", "bidder_b", "signal_type"])
-    available = available.select(*PAIR, "signal_type", F.when(F.col("usable_a") & F.col("usable_b"), "compared").otherwise("excluded").alias("state"))
-    return status_frame(pairs, PAIR, LINK_SIGNALS, available, link_instances(rows))
+    both = {signal: F.col(field) for signal, field in SHARED.items()} | {"shared_subnet_time": F.when(valid_ipv4(F.col("ip_address")) & t.isNotNull(), F.col("ip_address"))}
+    both |= {signal: F.coalesce(*fields) for signal, fields in TIMES.items()}
+    usable = [F.max(F.when(c.isNotNull(), ~(F.col("public_exit") & F.lit(s in ("shared_full_ip", "shared_subnet_time"))))).alias(s) for s, c in both.items()]
+    side = rows.groupBy("project_id", "bidder_id").agg(*usable)
+    a, b = (side.select("project_id", F.col("bidder_id").alias(f"bidder_{x}"), F.struct(*both).alias(f"side_{x}")) for x in "ab")
+    state = lambda s: F.when(F.col(f"side_a.{s}").isNull() | F.col(f"side_b.{s}").isNull(), "missing").when(F.col(f"side_a.{s}") & F.col(f"side_b.{s}"), "compared").otherwise("excluded")
+    states = F.create_map(*[x for s in both for x in (F.lit(s), state(s))])
+    compared = pairs.join(a, ["project_id", "bidder_a"]).join(b, ["project_id", "bidder_b"]).select(*PAIR, states.alias("states"))
+    return signal_rows(compared, PAIR, LINK_SIGNALS, link_instances(rows))
+
+
+def link_frame(rows: DataFrame) -> DataFrame:
+    """Status of the eleven signals: missing where either bidder has no value, then excluded where all of one's are public exits."""
+    return status_frame(_pair_rows(rows), PAIR)
 
 
 def link_features(rows: DataFrame) -> DataFrame:
-    return score_pairs(link_frame(rows), PAIR, "links")
+    return score_pairs(_pair_rows(rows), PAIR, "links")
+
+
+def link_lineage(rows: DataFrame) -> DataFrame:
+    """PAIR, signal_type, value, record_id: every record that a shared value of a pair stands in, on either side.
+
+    One row a record, so a value that very many records carry is never gathered in one place."""
+    found = shared_values(rows)
+    entries = F.array(*[F.struct(F.lit(s).alias("signal_type"), F.col(c).alias("value"), F.lit(c == "ip_address").alias("net")) for s, c in SHARED.items()])
+    long = rows.select("project_id", "bidder_id", "record_id", "public_exit", F.explode(entries).alias("e")).where("e.value is not null and not (public_exit and e.net)")
+    long = long.select("project_id", "bidder_id", "record_id", "e.signal_type", "e.value")
+    sides = found.select("*", F.explode(F.array("bidder_a", "bidder_b")).alias("bidder_id"))
+    return sides.join(long, ["project_id", "bidder_id", "signal_type", "value"]).where(present(F.col("record_id"))).select(*PAIR, "signal_type", "value", "record_id").distinct()

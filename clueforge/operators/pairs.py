@@ -25,31 +25,34 @@ def band(score: Column, engine: str) -> Column:
     return F.when(score >= high, "high").when(score >= medium, "medium").when(score > 0, "low").otherwise("none")
 
 
-def status_frame(pairs: DataFrame, keys: list[str], weights: dict[str, int], availability: DataFrame, instances: DataFrame) -> DataFrame:
-    """One row for each pair and signal: status, instances, points.
+def signal_rows(states: DataFrame, keys: list[str], weights: dict[str, int], instances: DataFrame) -> DataFrame:
+    """keys and signals: for each pair one array of (signal_type, status, instances, points), one entry a signal.
 
-    availability: keys, signal_type, state ('missing', 'excluded' or 'compared'; no row counts as missing); instances:
-    keys, signal_type, one row for each time the signal fires. triggered > the state's status > no_signal.
+    states: keys and a map states, signal -> 'missing', 'excluded' or 'compared' (no entry counts as missing); instances: keys,
+    signal_type, one row for each time the signal fires. triggered > the state's status > no_signal. A pair stays one row
+    until its statuses are listed, so only pairs are joined, never pairs times signals.
     """
-    signals = F.array(*[F.struct(F.lit(s).alias("signal_type"), F.lit(w).alias("weight")) for s, w in weights.items()])
-    dense = pairs.select(*keys, F.explode(signals).alias("s")).select(*keys, "s.signal_type", "s.weight")
-    fired = instances.groupBy(*keys, "signal_type").agg(F.count("*").alias("instances"))
-    on = [*keys, "signal_type"]
-    joined = dense.join(availability, on, "left").join(fired, on, "left")
-    n = F.coalesce("instances", F.lit(0))
-    status = (
-        F.when(n > 0, "triggered")
-        .when(F.coalesce("state", F.lit("missing")) == "missing", "not_provided")
-        .when(F.col("state") == "excluded", "excluded")
-        .otherwise("no_signal")
-    )
-    return joined.select(*on, status.alias("status"), n.cast("bigint").alias("instances"), (n * F.col("weight")).cast("bigint").alias("points"))
-
-
-def score_pairs(frame: DataFrame, keys: list[str], engine: str) -> DataFrame:
-    """keys, score (capped sum of points), level, and how many signals have each status."""
-    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("triggered", "no_signal", "not_provided", "excluded")]
-    out = frame.groupBy(*keys).agg(F.least(F.sum("points"), F.lit(100)).cast("bigint").alias("score"), *counts)
+    fired = instances.groupBy(*keys).agg(*[F.count_if(F.col("signal_type") == s).alias(f"__{s}") for s in weights])
+    entries = []
+    for signal, weight in weights.items():
+        n = F.coalesce(F.col(f"__{signal}"), F.lit(0))
+        state = F.coalesce(F.try_element_at("states", F.lit(signal)), F.lit("missing"))
+        status = F.when(n > 0, "triggered").when(state == "missing", "not_provided").when(state == "excluded", "excluded").otherwise("no_signal")
+        entries.append(F.struct(F.lit(signal).alias("signal_type"), status.alias("status"), n.cast("bigint").alias("instances"), (n * weight).cast("bigint").alias("points")))
+    return states.join(fired, keys, "left").select(*keys, F.array(*entries).alias("signals"))
+
+
+def status_frame(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each pair and signal of signal_rows: status, instances, points."""
+    return rows.select(*keys, F.explode("signals").alias("s")).select(*keys, "s.*")
+
+
+def score_pairs(rows: DataFrame, keys: list[str], engine: str) -> DataFrame:
+    """keys, score (capped sum of points), level, and how many signals have each status, from signal_rows."""
+    having = lambda status: F.size(F.filter("signals", lambda e: e["status"] == status)).cast("bigint").alias(status)
+    counts = [having(s) for s in ("triggered", "no_signal", "not_provided", "excluded")]
+    points = F.aggregate("signals", F.lit(0).cast("bigint"), lambda n, e: n + e["points"])
+    out = rows.select(*keys, F.least(points, F.lit(100).cast("bigint")).alias("score"), *counts)
     return out.withColumn("level", band(F.col("score"), engine))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import present, strict_amount, unit_factor
 from ..schemas import ITEM_SCOPES, QUOTE_SIGNALS, QUOTE_TYPES, TOTAL_SCOPES
-from .pairs import PAIR, pairs_in, score_pairs, status_frame
+from ..session import durable
+from .pairs import PAIR, pairs_in, score_pairs, signal_rows, status_frame
 
 
 def quote_rows(records: DataFrame) -> DataFrame:
@@ -61,8 +62,8 @@ def total_pairs(good: DataFrame) -> DataFrame:
     return a.join(b, ["project_id", "currency"]).where("bidder_a < bidder_b")
 
 
-def pairwise_distance(good: DataFrame) -> DataFrame:
-    pairs = total_pairs(good)
+def pairwise_distance(good: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    pairs = total_pairs(good) if pairs is None else pairs
     distance = relative_distance(F.col("amount_a"), F.col("amount_b"))
     return pairs.select(*PAIR, "currency", "amount_a", "amount_b", distance.alias("distance"), (distance <= 0.005).alias("triggered"))
 
@@ -77,8 +78,8 @@ def control_prices(rows: DataFrame) -> DataFrame:
     )
 
 
-def control_ratio(good: DataFrame, controls: DataFrame) -> DataFrame:
-    pairs = total_pairs(good).join(controls.where("state = 'compared'"), "project_id")
+def control_ratio(good: DataFrame, controls: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    pairs = (total_pairs(good) if pairs is None else pairs).join(controls.where("state = 'compared'"), "project_id")
     ra, rb = F.col("amount_a") / F.col("control"), F.col("amount_b") / F.col("control")
     hit = ra.between(0.95, 1) & rb.between(0.95, 1) & (F.abs(ra - rb) <= 0.003)
     return pairs.select(*PAIR, ra.alias("ratio_a"), rb.alias("ratio_b"), hit.alias("triggered"))
@@ -155,17 +156,16 @@ def item_correlation(prices: DataFrame, least: int = 3) -> DataFrame:
     return out.where(F.col("items") >= least)
 
 
-def signal_instances(rows: DataFrame) -> DataFrame:
-    """PAIR and signal_type, one row for each time a signal fires for a pair."""
-    all_totals = totals(rows)
-    good = clean(all_totals)
+def signal_instances(rows: DataFrame, good: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    """PAIR and signal_type, one row for each time a signal fires for a pair. good, items: written totals and item correlations."""
+    good = durable(clean(totals(rows)), "totals") if good is None else good
     group = ["project_id", "currency"]
-    pairs = total_pairs(good)
+    pairs = durable(total_pairs(good), "total-pairs")
     named = lambda df, s: df.select(*PAIR, F.lit(s).alias("signal_type"))
     gaps = gap_patterns(good)
     out = [
-        named(pairwise_distance(good).where("triggered"), "pairwise_price_distance"),
-        named(control_ratio(good, control_prices(rows)).where("triggered"), "control_price_ratio"),
+        named(pairwise_distance(good, pairs).where("triggered"), "pairwise_price_distance"),
+        named(control_ratio(good, control_prices(rows), pairs).where("triggered"), "control_price_ratio"),
         named(pairs.join(gaps.where("fixed_difference").select(*group), group), "fixed_difference"),
         named(pairs.join(gaps.where("fixed_difference").select(*group), group), "staircase_quote"),
         named(pairs.join(gaps.where("fixed_ratio").select(*group), group), "fixed_ratio"),
@@ -176,7 +176,7 @@ def signal_instances(rows: DataFrame) -> DataFrame:
     out.append(named(pairs.where(tail("a") == tail("b")).withColumn("tail", tail("a")).join(price_tails(good), [*group, "tail"]), "repeated_price_tail"))
     low = accompaniment(good).select(*group, "low_bidder")
     out.append(named(pairs.join(low, group).where("low_bidder = bidder_a or low_bidder = bidder_b"), "accompaniment_structure"))
-    items = item_correlation(item_prices(rows))
+    items = item_correlation(item_prices(rows)) if items is None else items
     out += [named(items.where("r_price >= 0.995"), "item_price_correlation"), named(items.where("r_rank >= 0.995"), "item_rank_consistency")]
     merged = out[0]
     for more in out[1:]:
@@ -184,15 +184,12 @@ def signal_instances(rows: DataFrame) -> DataFrame:
     return merged
 
 
-def quote_frame(rows: DataFrame) -> DataFrame:
-    """The status of each of the ten signals for each pair of bidders of a project.
-
-    Excluded dominates: a total signal is excluded where either total is, missing where either is absent. Group signals
-    need three or four compared totals, control_price_ratio a control price, item signals three shared items.
-    """
+def _pair_rows(rows: DataFrame) -> DataFrame:
+    all_totals = durable(totals(rows), "all-totals")
+    good, items = clean(all_totals), durable(item_correlation(item_prices(rows)), "items")
     pairs = pairs_in(rows)
-    states = totals(rows).select("project_id", "bidder_id", "state")
-    sized = clean(totals(rows)).groupBy("project_id").agg(F.count("*").alias("n"))
+    states = all_totals.select("project_id", "bidder_id", "state")
+    sized = good.groupBy("project_id").agg(F.count("*").alias("n"))
     controls = control_prices(rows).select("project_id", F.col("state").alias("control_state"))
     a, b = (states.select("project_id", F.col("bidder_id").alias(f"bidder_{s}"), F.col("state").alias(f"state_{s}")) for s in "ab")
     base = pairs.join(a, ["project_id", "bidder_a"], "left").join(b, ["project_id", "bidder_b"], "left").join(sized, "project_id", "left")
@@ -207,12 +204,21 @@ def quote_frame(rows: DataFrame) -> DataFrame:
     state = {s: F.when(total != "compared", total).when(F.coalesce("n", F.lit(0)) >= k, "compared").otherwise("missing") for s, k in needs.items()}
     state["pairwise_price_distance"] = total
     state["control_price_ratio"] = F.when(total != "compared", total).otherwise(F.coalesce("control_state", F.lit("missing")))
-    entries = F.array(*[F.struct(F.lit(s).alias("signal_type"), e.alias("state")) for s, e in state.items()])
-    available = base.select(*PAIR, F.explode(entries).alias("e")).select(*PAIR, "e.signal_type", "e.state")
-    items = item_correlation(item_prices(rows)).select(*PAIR, F.explode(F.array(F.lit("item_price_correlation"), F.lit("item_rank_consistency"))).alias("signal_type"))
-    available = available.unionByName(items.withColumn("state", F.lit("compared")))
-    return status_frame(pairs, PAIR, QUOTE_SIGNALS, available, signal_instances(rows))
+    base = base.join(items.select(*PAIR, "items"), PAIR, "left")
+    for signal in ("item_price_correlation", "item_rank_consistency"):
+        state[signal] = F.when(F.col("items").isNotNull(), "compared").otherwise("missing")
+    states = F.create_map(*[x for s, e in state.items() for x in (F.lit(s), e)])
+    return signal_rows(base.select(*PAIR, states.alias("states")), PAIR, QUOTE_SIGNALS, signal_instances(rows, good, items))
+
+
+def quote_frame(rows: DataFrame) -> DataFrame:
+    """The status of each of the ten signals for each pair of bidders of a project.
+
+    Excluded dominates: a total signal is excluded where either total is, missing where either is absent. Group signals
+    need three or four compared totals, control_price_ratio a control price, item signals three shared items.
+    """
+    return status_frame(_pair_rows(rows), PAIR)
 
 
 def quote_features(rows: DataFrame) -> DataFrame:
-    return score_pairs(quote_frame(rows), PAIR, "quotes")
+    return score_pairs(_pair_rows(rows), PAIR, "quotes")

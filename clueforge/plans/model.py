@@ -20,7 +20,8 @@ from . import links, quotes
 def _matrix(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "audit_records")
     rows = q.quote_rows(records)
-    return durable(m.pair_matrix(k.link_instances(k.link_rows(records)), q.signal_instances(rows), pairs_in(rows)), "matrix")
+    good = durable(q.clean(q.totals(rows)), "totals")
+    return durable(m.pair_matrix(k.link_instances(k.link_rows(records)), q.signal_instances(rows, good), pairs_in(rows), distances=q.pairwise_distance(good)), "matrix")
 
 
 def _whole(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,8 +30,9 @@ def _whole(spark: SparkSession, folder: str) -> DataFrame:
     rows = q.quote_rows(records)
     held = docs.where(present(F.col("project_id")) & present(F.col("bidder_id")))
     pairs = pairs_in(rows).unionByName(pairs_in(held)).distinct()
-    linked, quoted = durable(k.link_instances(k.link_rows(records)), "linked"), durable(q.signal_instances(rows), "quoted")
-    return durable(m.pair_matrix(linked, quoted, pairs, durable(m.document_features(docs), "documents")), "matrix")
+    good = durable(q.clean(q.totals(rows)), "totals")
+    linked, quoted = durable(k.link_instances(k.link_rows(records)), "linked"), durable(q.signal_instances(rows, good), "quoted")
+    return durable(m.pair_matrix(linked, quoted, pairs, durable(m.document_features(docs), "documents"), q.pairwise_distance(good)), "matrix")
 
 
 def fitted(matrix: DataFrame) -> DataFrame:
@@ -87,18 +89,17 @@ _MATRIX = (
     .replace("\nw(signal_type, weight) AS", "\nlw(signal_type, weight) AS")
     .replace("\nfired AS (", "\nlfired AS (")
     .replace("FROM fired", "FROM lfired")
-    .replace("\nfn AS (", "\nlfn AS (")
+    .replace("\nfn AS MATERIALIZED (", "\nlfn AS MATERIALIZED (")
     .replace("LEFT JOIN fn ON", "LEFT JOIN lfn fn ON")
     .replace("\nfr AS (", "\nlfr AS (")
     + """, li AS (SELECT project_id, bidder_a, bidder_b, count(*) FILTER (signal_type IN ('shared_full_ip', 'shared_subnet_time', 'shared_device'))::DOUBLE AS net,
   count(*) FILTER (signal_type = 'shared_account')::DOUBLE AS acc, count(*) FILTER (signal_type = 'shared_author')::DOUBLE AS aut, count(*) FILTER (signal_type = 'shared_file_hash')::DOUBLE AS mix FROM lfired GROUP BY ALL),
-qi AS (SELECT project_id, bidder_a, bidder_b, count(*) FILTER (signal_type <> 'median_deviation')::DOUBLE AS pat, count(*) FILTER (signal_type = 'median_deviation')::DOUBLE AS dev FROM fired GROUP BY ALL),
-mx AS (SELECT project_id, bidder_a, bidder_b, 0.0::DOUBLE AS similarity, 0.0::DOUBLE AS shared_phone_count, 0.0::DOUBLE AS shared_email_count, 0.0::DOUBLE AS shared_credit_count, 0.0::DOUBLE AS shared_contact_count,
-  0.0::DOUBLE AS shared_address_count, coalesce(aut, 0) AS shared_author_count, coalesce(net, 0) AS shared_network_count, coalesce(acc, 0) AS shared_account_count, coalesce(mix, 0) AS mixed_document_count,
-  coalesce(pat, 0) AS price_pattern, coalesce(dev, 0) AS price_deviation,
-  (CASE WHEN net > 0 THEN 1.0 ELSE 0 END + CASE WHEN acc > 0 THEN 1.0 ELSE 0 END + CASE WHEN aut > 0 THEN 1.0 ELSE 0 END + CASE WHEN mix > 0 THEN 1.0 ELSE 0 END)::DOUBLE AS entity_type_count,
-  0.0::DOUBLE AS repeated_segment_count, 0.0::DOUBLE AS repeated_segment_chars
-  FROM pr LEFT JOIN li USING (project_id, bidder_a, bidder_b) LEFT JOIN qi USING (project_id, bidder_a, bidder_b))
+qi AS (SELECT project_id, bidder_a, bidder_b, least(sum(weight), 100) / 100.0::DOUBLE AS pat FROM fired JOIN w USING (signal_type) GROUP BY ALL),
+di AS (SELECT project_id, bidder_a, bidder_b, max(distance) AS dev FROM pd GROUP BY ALL),
+mx AS (SELECT project_id, bidder_a, bidder_b, 0.0::DOUBLE AS similarity, 0.0::DOUBLE AS shared_phones_count, 0.0::DOUBLE AS shared_emails_count, 0.0::DOUBLE AS shared_credit_codes_count, 0.0::DOUBLE AS shared_contacts_count,
+  0.0::DOUBLE AS shared_addresses_count, coalesce(aut, 0) AS shared_file_authors_count, coalesce(net, 0) AS shared_network_fingerprints_count, coalesce(acc, 0) AS shared_bid_accounts_count, coalesce(mix, 0) AS mixed_bid_documents_count,
+  coalesce(pat, 0)::DOUBLE AS price_pattern_score, coalesce(dev, 0)::DOUBLE AS price_deviation_span, 0.0::DOUBLE AS shared_entity_type_count, 0.0::DOUBLE AS repeated_segment_count, 0.0::DOUBLE AS repeated_segment_chars_k
+  FROM pr LEFT JOIN li USING (project_id, bidder_a, bidder_b) LEFT JOIN qi USING (project_id, bidder_a, bidder_b) LEFT JOIN di USING (project_id, bidder_a, bidder_b))
 """
 )
 _FIT = f""", ml AS (UNPIVOT mx ON {", ".join(MODEL_FEATURES)} INTO NAME feature VALUE value),

@@ -81,7 +81,7 @@ def test_shared_address_public_exit_and_subnet(spark):
     assert link(spark, a, b)["shared_full_ip"] == "triggered"
     out = {"is_public_exit": True}
     assert link(spark, a | out, b | out)["shared_full_ip"] == "excluded"
-    assert link(spark, a | {"network_role": "NAT"}, b | out)["shared_full_ip"] == "excluded"
+    assert link(spark, a | {"network_role": "Agency"}, b | out)["shared_full_ip"] == "excluded"
     b = b | {"ip_address": "10.0.0.9"}
     at = lambda r, t: r | {"event_time": f"2025-01-01 {t}:00"}
     assert link(spark, at(a, "10:00"), at(b, "13:00"))["shared_subnet_time"] == "no_signal"
@@ -89,6 +89,28 @@ def test_shared_address_public_exit_and_subnet(spark):
     assert link(spark, at(a, "10:00"), at(b, "10:31"))["shared_subnet_time"] == "no_signal"
 
 
+@pytest.mark.parametrize(
+    "row, status",
+    [
+        ({"network_role": "platform"}, "excluded"), ({"network_role": "采购单位"}, "excluded"), ({"network_role": "proxy"}, "triggered"), ({"extra": {"ip_role": "agency_exit"}}, "excluded"), ({"extra": {"owner_type": "Procurement"}}, "excluded"),
+        ({"extra": {"public_exit": "是"}}, "excluded"), ({"extra": {"is_public_exit": "no"}}, "triggered"), ({"network_role": "office", "extra": {"network_role": "platform"}}, "triggered"),
+    ],
+)
+def test_public_exits_by_role_flag_and_extra(spark, row, status):
+    a, b = ({"bidder_id": x, "ip_address": "198.51.100.10", "record_id": f"r{x}"} | row for x in "ab")
+    got = link(spark, a, b)
+    assert got["shared_full_ip"] == status
+
+
+def test_excluded_addresses_and_lineage(spark):
+    rows = [{"bidder_id": x, "ip_address": "203.0.113.8", "device_id": "d", "record_id": f"r{n}"} for n, x in enumerate("aab")]
+    listed = k.link_rows(records(spark, *rows), ("203.0.113.8",))
+    frame = {r["signal_type"]: r["status"] for r in k.link_frame(listed).collect()}
+    assert frame["shared_full_ip"] == "excluded" and frame["shared_device"] == "triggered"
+    lines = {(r["signal_type"], r["record_id"]) for r in k.link_lineage(k.link_rows(records(spark, *rows))).collect()}
+    assert lines == {(s, f"r{n}") for s in ("shared_full_ip", "shared_device") for n in range(3)}
+
+
 def test_values_times_and_missing(spark):
     a = {"bidder_id": "a", "device_id": "D1 ", "account_id": "x", "created_at": "2025-01-01 10:00:00", "author": "Li"}
     b = {"bidder_id": "b", "device_id": "d1", "account_id": "y", "created_at": "2025-01-01 10:04:00"}
@@ -201,9 +223,9 @@ def test_model_ranks_the_odd_pair_first(spark):
     best = m.score(matrix, m.fit(matrix), m.PAIR).orderBy("score", ascending=False).first()
     assert (best["bidder_a"], best["bidder_b"]) == ("b0", "b1")
     made = m.benchmark(matrix)
-    assert made.count() == matrix.count() * 14
+    assert made.count() == matrix.count() * len(m.TRANSFORMS)
     assert made.groupBy("project_id").agg({"split": "min"}).count() == 4 and made.select("project_id", "split").distinct().count() == 4
     ev = {r["transform"]: r for r in m.evaluate(matrix).collect()}
-    assert ev["control_plain"]["fp"] == 0 and ev["several_at_once"]["recall"] == 1.0
+    assert ev["nothing"]["fp"] == 0 and ev["everything"]["recall"] == 1.0 and ev["only_repeated_segment_count"]["fp"] == 0
     folds = m.cross_validate(matrix, 2).collect()
     assert len(folds) == 2 and all(r["train"] == r["test"] for r in folds)

@@ -40,9 +40,9 @@ def test_matrix_holds_document_features(spark):
     assert got["b1", "b2"]["similarity"] == pytest.approx(want[2, 3]) and 0 < want[2, 3] < 0.75  # under the threshold of docs_similar
     assert got["b2", "b3"]["similarity"] == 1.0
     row = got["b0", "b1"]
-    assert (row["shared_phone_count"], row["shared_contact_count"], row["shared_email_count"], row["entity_type_count"]) == (1, 1, 0, 2)
+    assert (row["shared_phones_count"], row["shared_contacts_count"], row["shared_emails_count"], row["shared_entity_type_count"]) == (1, 1, 0, 2)
     parts = o.segment_pairs(o.shared_segments(df)).where("doc_a = 1 and doc_b = 2").first()
-    assert (row["repeated_segment_count"], row["repeated_segment_chars"]) == (parts["segments"], parts["chars"]) and row["repeated_segment_count"] > 0
+    assert (row["repeated_segment_count"], row["repeated_segment_chars_k"]) == (parts["segments"], pytest.approx(parts["chars"] / 1000)) and row["repeated_segment_count"] > 0
     assert all(r["bidder_a"] < r["bidder_b"] for r in got.values())
 
 
@@ -55,5 +55,5 @@ def test_registered_model_reads_documents(spark, tmp_path):
     spark.createDataFrame(docs, DOC).write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["project_id"], r["bidder_a"], r["bidder_b"]): r["similarity"] for r in QUERIES["model_whole_matrix"](spark, str(tmp_path)).collect()}
     assert got == {("p", "b0", "b1"): 0.0, ("r", "b5", "b6"): 1.0}
-    sums = QUERIES["model_benchmark"](spark, str(tmp_path)).where("transform = 'control_plain'").agg({"rows": "sum", "similarity": "sum"}).first()
+    sums = QUERIES["model_benchmark"](spark, str(tmp_path)).where("transform = 'nothing'").agg({"rows": "sum", "similarity": "sum"}).first()
     assert sums["sum(rows)"] == 2 and sums["sum(similarity)"] == pytest.approx(0.08 + 0.3)
