@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import present, strict_time
 from ..schemas import COOCCURRENCE_SIGNALS, RUN_GAP_DAYS
+from ..session import durable
 from .components import connected_components
 from .pairs import band, pairs_in
 
@@ -55,13 +56,12 @@ def longest_runs(met: DataFrame, gap_days: int = RUN_GAP_DAYS) -> DataFrame:
 
 
 def outcomes(met: DataFrame) -> DataFrame:
-    """Meetings with one winner and one loser: how many, the share of the more frequent winner, and how often it changed."""
-    decided = met.where("(winner_a and not winner_b) or (winner_b and not winner_a)").withColumn("winner", F.when(F.col("winner_a"), F.col("bidder_a")).otherwise(F.col("bidder_b")))
-    w = Window.partitionBy(*PAIR).orderBy(F.col("time").asc_nulls_last(), "project_id")
-    changed = (F.lag("winner").over(w) != F.col("winner")).cast("int")
-    by = decided.withColumn("changed", changed).groupBy(*PAIR)
-    wins = F.count_if(F.col("winner") == F.col("bidder_a"))
-    return by.agg(F.count("*").alias("decided"), F.greatest(wins, F.count("*") - wins).alias("most_wins"), F.coalesce(F.sum("changed"), F.lit(0)).alias("switches"))
+    """Meetings where both outcomes are known, those of them that one won and the other lost, and how often the winner changed."""
+    known = met.where("winner_a is not null and winner_b is not null")
+    winner = F.when(F.col("winner_a") != F.col("winner_b"), F.when(F.col("winner_a"), F.col("bidder_a")).otherwise(F.col("bidder_b")))
+    w = Window.partitionBy(*PAIR).orderBy(F.col("time").asc_nulls_last(), "project_id").rowsBetween(Window.unboundedPreceding, -1)
+    told = known.withColumn("winner", winner).withColumn("before", F.last("winner", ignorenulls=True).over(w))
+    return told.groupBy(*PAIR).agg(F.count("*").alias("both_known"), F.count("winner").alias("decided"), F.count_if(F.col("winner") != F.col("before")).alias("switches"))
 
 
 def same_agency(met: DataFrame) -> DataFrame:
@@ -88,28 +88,44 @@ def shared_identifiers(records: DataFrame) -> DataFrame:
     return met.groupBy(*PAIR, "signal_type").agg(F.count("*").alias("values"))
 
 
-def pair_features(records: DataFrame) -> DataFrame:
-    """Every pair that meets or shares an identifier: metrics, score of the thirteen signals and level."""
-    members, info = memberships(records), projects(records)
-    met = meetings(members, info)
+def pair_signals(records: DataFrame) -> DataFrame:
+    """Every pair that meets or shares an identifier: together, and signals, an array of (signal_type, status, points) of all thirteen.
+
+    Strengths are excluded for pairs that meet less than twice; outcomes, agencies and identifiers that neither side tells
+    are not_provided, so nothing missing counts as no signal.
+    """
+    members, info = durable(memberships(records), "members"), projects(records)
+    met = durable(meetings(members, info), "meetings")
     shared = shared_identifiers(records).groupBy(*PAIR).pivot("signal_type", [s for s in COOCCURRENCE_SIGNALS if s.startswith("shared_")]).agg(F.first("values"))
     out = metrics(members).join(shared, PAIR, "full_outer").join(longest_runs(met), PAIR, "left").join(outcomes(met), PAIR, "left").join(same_agency(met), PAIR, "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    enough = zero("together") >= 2
-    fired = {
-        "stable_cooccurrence": enough,
-        "jaccard": enough & (F.col("jaccard") >= 0.45),
-        "lift": enough & (F.col("lift") >= 1.8),
-        "pmi": enough & (F.col("pmi") >= 0.85),
-        "consecutive_cooccurrence": zero("longest_run") >= 2,
-        "winner_loser_pattern": (zero("decided") >= 2) & (zero("most_wins") >= 0.75 * zero("decided")),
-        "alternating_winner": (zero("switches") >= 2) & (zero("decided") >= 3),
-        "same_agency": zero("one_agency") >= 2,
-    } | {s: zero(s) > 0 for s in COOCCURRENCE_SIGNALS if s.startswith("shared_")}
-    points = sum((F.when(F.coalesce(c, F.lit(False)), COOCCURRENCE_SIGNALS[s]).otherwise(0) for s, c in fired.items()), F.lit(0))
-    names = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(s)) for s, c in fired.items()]))
-    out = out.withColumns({"score": F.least(points, F.lit(100)).cast("bigint"), "signals": F.array_join(F.array_sort(names), ",")})
-    return out.select(*PAIR, zero("together").cast("bigint").alias("together"), "score", "signals", band(F.col("score"), "cooccurrence").alias("level"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    told = lambda provided, fires: F.when(~provided, "not_provided").when(fires, "triggered").otherwise("no_signal")
+    strength = lambda c, least: F.when(n("together") < 2, "excluded").when(F.col(c) >= least, "triggered").otherwise("no_signal")
+    status = {
+        "stable_cooccurrence": told(F.lit(True), n("together") >= 2),
+        "jaccard": strength("jaccard", 0.45),
+        "lift": strength("lift", 1.8),
+        "pmi": strength("pmi", 0.85),
+        "consecutive_cooccurrence": told(n("together") > 0, n("longest_run") >= 2),
+        "winner_loser_pattern": told(n("both_known") > 0, (n("decided") >= 2) & (n("decided") >= 0.75 * n("both_known"))),
+        "alternating_winner": told(n("decided") >= 2, (n("switches") >= 2) & (n("decided") >= 3)),
+        "same_agency": told(n("any_agency") > 0, n("one_agency") >= 2),
+    } | {s: told(n(s) > 0, n(s) > 0) for s in COOCCURRENCE_SIGNALS if s.startswith("shared_")}
+    entry = lambda s: F.struct(F.lit(s).alias("signal_type"), status[s].alias("status"), F.when(status[s] == "triggered", F.lit(COOCCURRENCE_SIGNALS[s])).otherwise(0).cast("bigint").alias("points"))
+    return out.select(*PAIR, n("together").cast("bigint").alias("together"), F.array(*[entry(s) for s in status]).alias("signals"))
+
+
+def pair_status(records: DataFrame) -> DataFrame:
+    """One row for each pair and signal: status and points."""
+    return pair_signals(records).select(*PAIR, F.explode("signals").alias("s")).select(*PAIR, "s.*")
+
+
+def pair_features(records: DataFrame) -> DataFrame:
+    """Every pair of pair_signals with its score, the names of its triggered signals, and its level."""
+    fired = F.transform(F.filter("signals", lambda e: e["status"] == "triggered"), lambda e: e["signal_type"])
+    points = F.aggregate("signals", F.lit(0).cast("bigint"), lambda a, e: a + e["points"])
+    out = pair_signals(records).select(*PAIR, "together", F.least(points, F.lit(100).cast("bigint")).alias("score"), F.array_join(F.array_sort(fired), ",").alias("signals"))
+    return out.withColumn("level", band(F.col("score"), "cooccurrence"))
 
 
 def groups(features: DataFrame, members: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cooccurrence as c
 from ..operators.components import connected_components
+from ..operators.pairs import summarise
 from ..session import table
 from .links import time_sql
 
@@ -52,6 +53,8 @@ QUERIES = {
     "cooc_outcomes": lambda s, d: c.outcomes(_met(s, d)),
     "cooc_same_agency": lambda s, d: c.same_agency(_met(s, d)),
     "cooc_shared_identifiers": lambda s, d: c.shared_identifiers(_records(s, d)),
+    "cooc_status": lambda s, d: c.pair_status(_records(s, d)),
+    "cooc_summary": lambda s, d: summarise(c.pair_status(_records(s, d))),
     "cooc_features": lambda s, d: c.pair_features(_records(s, d)),
     "cooc_groups": groups,
     "cooc_relation_components": relation_components,
@@ -78,8 +81,10 @@ rs AS (SELECT *, CASE WHEN floor((epoch(time) - epoch(lag(time) OVER w)) / 86400
 lr AS (SELECT bidder_a, bidder_b, max(n) AS longest_run FROM (SELECT bidder_a, bidder_b, run, count(*) AS n FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY bidder_a, bidder_b ORDER BY time, project_id) AS run FROM rs) GROUP BY ALL) GROUP BY ALL),
 dc AS (SELECT *, CASE WHEN winner_a THEN bidder_a ELSE bidder_b END AS winner FROM mt WHERE (winner_a AND NOT winner_b) OR (winner_b AND NOT winner_a)),
-oc AS (SELECT bidder_a, bidder_b, count(*) AS decided, greatest(count(*) FILTER (winner = bidder_a), count(*) FILTER (winner <> bidder_a)) AS most_wins, coalesce(sum(ch), 0)::BIGINT AS switches FROM (
-  SELECT *, CAST(lag(winner) OVER (PARTITION BY bidder_a, bidder_b ORDER BY time NULLS LAST, project_id) <> winner AS INT) AS ch FROM dc) GROUP BY ALL),
+ow AS (SELECT bidder_a, bidder_b, count(*) AS both_known FROM mt WHERE winner_a IS NOT NULL AND winner_b IS NOT NULL GROUP BY ALL),
+od AS (SELECT bidder_a, bidder_b, count(*) AS decided, count(*) FILTER (ch) AS switches FROM (
+  SELECT *, lag(winner) OVER (PARTITION BY bidder_a, bidder_b ORDER BY time NULLS LAST, project_id) <> winner AS ch FROM dc) GROUP BY ALL),
+oc AS (SELECT bidder_a, bidder_b, both_known, coalesce(decided, 0) AS decided, coalesce(switches, 0) AS switches FROM ow LEFT JOIN od USING (bidder_a, bidder_b)),
 sa AS (SELECT bidder_a, bidder_b, max(n) AS one_agency, sum(n)::BIGINT AS any_agency FROM (SELECT bidder_a, bidder_b, agency, count(*) AS n FROM mt WHERE agency IS NOT NULL GROUP BY ALL) GROUP BY ALL),
 iv(bidder_id, project_id, signal_type, value) AS (SELECT bidder_id, coalesce(project_id, ''), 'shared_ip', ip_address FROM audit_records WHERE NOT coalesce(is_public_exit, false)
  UNION ALL SELECT bidder_id, coalesce(project_id, ''), 'shared_device', device_id FROM audit_records UNION ALL SELECT bidder_id, coalesce(project_id, ''), 'shared_account', account_id FROM audit_records
@@ -92,7 +97,7 @@ al AS (SELECT bidder_a, bidder_b FROM k UNION SELECT bidder_a, bidder_b FROM si)
 fs AS (SELECT al.bidder_a, al.bidder_b, coalesce(together, 0) AS together, s FROM al LEFT JOIN k USING (bidder_a, bidder_b) LEFT JOIN lr USING (bidder_a, bidder_b)
   LEFT JOIN oc USING (bidder_a, bidder_b) LEFT JOIN sa USING (bidder_a, bidder_b), LATERAL (SELECT [
   CASE WHEN together >= 2 THEN 'stable_cooccurrence' END, CASE WHEN together >= 2 AND jaccard >= 0.45 THEN 'jaccard' END, CASE WHEN together >= 2 AND lift >= 1.8 THEN 'lift' END,
-  CASE WHEN together >= 2 AND pmi >= 0.85 THEN 'pmi' END, CASE WHEN longest_run >= 2 THEN 'consecutive_cooccurrence' END, CASE WHEN decided >= 2 AND most_wins >= 0.75 * decided THEN 'winner_loser_pattern' END,
+  CASE WHEN together >= 2 AND pmi >= 0.85 THEN 'pmi' END, CASE WHEN longest_run >= 2 THEN 'consecutive_cooccurrence' END, CASE WHEN decided >= 2 AND decided >= 0.75 * both_known THEN 'winner_loser_pattern' END,
   CASE WHEN switches >= 2 AND decided >= 3 THEN 'alternating_winner' END, CASE WHEN one_agency >= 2 THEN 'same_agency' END] AS s)),
 sg AS (SELECT bidder_a, bidder_b, unnest(s) AS signal FROM fs UNION ALL SELECT bidder_a, bidder_b, signal_type FROM si),
 wt(signal, weight) AS (VALUES ('stable_cooccurrence', 22), ('jaccard', 10), ('lift', 8), ('pmi', 8), ('consecutive_cooccurrence', 10), ('winner_loser_pattern', 12), ('alternating_winner', 15), ('same_agency', 8),
@@ -112,6 +117,21 @@ gm AS (SELECT component, sum(score) AS s, count(*) AS pairs FROM lk JOIN cc ON i
 SELECT component, members, pairs, coalesce(common_projects, 0) AS common_projects, members >= 3 AND coalesce(common_projects, 0) >= 2 AS stable,
   CAST(least(floor(s / pairs) + CASE WHEN members >= 3 AND coalesce(common_projects, 0) >= 2 THEN 16 ELSE 0 END, 100) AS BIGINT) AS score
 FROM gs JOIN gm USING (component) LEFT JOIN cm USING (component)"""
+_STATUS = """, cs AS (SELECT e.bidder_a, e.bidder_b, e.signal_type, e.status, CASE WHEN e.status = 'triggered' THEN wt.weight ELSE 0 END::BIGINT AS points FROM (
+  SELECT al.bidder_a, al.bidder_b, unnest(['stable_cooccurrence', 'jaccard', 'lift', 'pmi', 'consecutive_cooccurrence', 'winner_loser_pattern', 'alternating_winner', 'same_agency']) AS signal_type, unnest([
+    CASE WHEN together >= 2 THEN 'triggered' ELSE 'no_signal' END,
+    CASE WHEN coalesce(together, 0) < 2 THEN 'excluded' WHEN jaccard >= 0.45 THEN 'triggered' ELSE 'no_signal' END,
+    CASE WHEN coalesce(together, 0) < 2 THEN 'excluded' WHEN lift >= 1.8 THEN 'triggered' ELSE 'no_signal' END,
+    CASE WHEN coalesce(together, 0) < 2 THEN 'excluded' WHEN pmi >= 0.85 THEN 'triggered' ELSE 'no_signal' END,
+    CASE WHEN together IS NULL THEN 'not_provided' WHEN longest_run >= 2 THEN 'triggered' ELSE 'no_signal' END,
+    CASE WHEN both_known IS NULL THEN 'not_provided' WHEN decided >= 2 AND decided >= 0.75 * both_known THEN 'triggered' ELSE 'no_signal' END,
+    CASE WHEN coalesce(decided, 0) < 2 THEN 'not_provided' WHEN switches >= 2 AND decided >= 3 THEN 'triggered' ELSE 'no_signal' END,
+    CASE WHEN any_agency IS NULL THEN 'not_provided' WHEN one_agency >= 2 THEN 'triggered' ELSE 'no_signal' END]) AS status
+  FROM al LEFT JOIN k USING (bidder_a, bidder_b) LEFT JOIN lr USING (bidder_a, bidder_b) LEFT JOIN oc USING (bidder_a, bidder_b) LEFT JOIN sa USING (bidder_a, bidder_b)
+  UNION ALL SELECT al.bidder_a, al.bidder_b, i.s, CASE WHEN si.bidder_a IS NULL THEN 'not_provided' ELSE 'triggered' END FROM al
+   CROSS JOIN (VALUES ('shared_ip'), ('shared_device'), ('shared_contact'), ('shared_address'), ('shared_account')) i(s) LEFT JOIN si ON si.bidder_a = al.bidder_a AND si.bidder_b = al.bidder_b AND si.signal_type = i.s) e
+  JOIN wt ON wt.signal = e.signal_type)
+"""
 ORACLE = {
     "cooc_memberships": BASE + "SELECT * FROM m",
     "cooc_projects": BASE + "SELECT * FROM p",
@@ -121,6 +141,8 @@ ORACLE = {
     "cooc_same_agency": BASE + "SELECT * FROM sa",
     "cooc_shared_identifiers": BASE + "SELECT * FROM si",
     "cooc_features": BASE + "SELECT * FROM fl",
+    "cooc_status": BASE + _STATUS + "SELECT * FROM cs",
+    "cooc_summary": BASE + _STATUS + "SELECT signal_type, status, count(*) AS pairs FROM cs GROUP BY ALL",
     "cooc_groups": BASE + _GROUPS,
     "cooc_relation_components": BASE
     + ", rl AS (SELECT DISTINCT bidder_id AS bidder_a, related_bidder_id AS bidder_b FROM audit_records WHERE record_type = 'historical_relation' AND bidder_id <> related_bidder_id)"
