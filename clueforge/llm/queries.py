@@ -14,7 +14,7 @@ from .mixing import mix, mix_bounds, shares
 from .names import link_names, linked_pairs
 from .pii import personal_spans, redact_texts
 from .spans import shared_share, shared_spans
-from .splitting import split_texts
+from .splitting import piece_bounds, split_texts
 from .together import pairs_together
 
 
@@ -107,6 +107,11 @@ def p9_bounds(spark: SparkSession, folder: str) -> DataFrame:
     return mix_bounds(mix(documents, targets), documents, targets)
 
 
+def p10_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    documents, limits = table(spark, folder, "documents"), table(spark, folder, "split_limits")
+    return piece_bounds(split_texts(documents, limits), documents, limits)
+
+
 _P1 = r"""
 WITH m AS (SELECT DISTINCT project_id p, bidder_id b FROM audit_records
            WHERE record_type IN ('bid', 'quote') AND regexp_matches(project_id, '\S') AND regexp_matches(bidder_id, '\S')),
@@ -141,7 +146,7 @@ WITH x AS (SELECT DISTINCT 'd' AS s, doc_id, 0::BIGINT AS page_number, text FROM
            SELECT *, lag(k) OVER (PARTITION BY s, doc_id, page_number ORDER BY k) AS prev FROM m)),
      f AS (SELECT s, doc_id, page_number, min(k) AS start_pos, max(k) + 120 AS end_pos FROM g GROUP BY s, doc_id, page_number, run)
 """
-QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p2_found": p2_found, "p2_share": p2_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_places": p5_places, "p6_found": p6_found, "p6_labels": p6_labels, "p8_found": p8_found, "p8_tiles": p8_tiles, "p8_reordered": p8_reordered, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_bounds": p9_bounds, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p1_odds": p1_odds, "p2_found": p2_found, "p2_share": p2_share, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_places": p5_places, "p6_found": p6_found, "p6_labels": p6_labels, "p8_found": p8_found, "p8_tiles": p8_tiles, "p8_reordered": p8_reordered, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_bounds": p9_bounds, "p10_pieces": p10_pieces, "p10_bounds": p10_bounds}
 ORACLE = {
     "p2_found": _P2 + "SELECT doc_id, page_number, start_pos, end_pos FROM f",
     "p2_share": _P2
@@ -151,6 +156,7 @@ LEFT JOIN (SELECT s, doc_id, page_number, sum(end_pos - start_pos)::BIGINT AS sh
 ON t.s = c.s AND t.doc_id IS NOT DISTINCT FROM c.doc_id AND t.page_number IS NOT DISTINCT FROM c.page_number""",
     "p8_found": _P8,
     "p9_bounds": "SELECT source, true AS within_caps, true AS within_a_document FROM (SELECT DISTINCT source FROM mix_targets) WHERE source IN (SELECT source FROM documents WHERE length(text) > 0)",
+    "p10_bounds": "SELECT profile, true AS within_limit, true AS in_order, true AS whole, true AS overlapping FROM split_limits",
     "p1_found": _P1 + "SELECT a AS bidder_id_a, b AS bidder_id_b FROM f",
     "p1_odds": _P1
     + """SELECT a AS item_a, b AS item_b, n_ab, n_a, n_b, n_baskets, round(n_ab * n_baskets / (n_a * n_b), 6) AS lift,

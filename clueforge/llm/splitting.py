@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tokens import VOCABULARY, _clean, encode, token_bytes
@@ -109,11 +109,51 @@ def cut_pattern(limit: int, overlap: int) -> str:
     return rf"^(?:{body(limit)})|(?:{body(limit - overlap - SLACK)})"
 
 
-def _ends(limit: int, overlap: int) -> Column:
-    """array<int>: the number of tokens up to the end of each piece, from the regular expression's matches."""
-    lengths = F.transform(F.regexp_extract_all("classes", F.lit(cut_pattern(limit, overlap)), F.lit(0)), lambda x: F.length(x))
+#: Pieces added up at a time, so that adding up is not quadratic in the pieces of a text.
+STEP = 256
+
+
+def _once(c: Column, use) -> Column:
+    """use(c) with c evaluated once a row, however often use names it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
+def _sums(lengths: Column) -> Column:
+    """array<int>: running sums, made from the sums of steps of STEP and those within each step."""
     empty = F.array().cast("array<int>")
-    return F.aggregate(lengths, empty, lambda acc, n: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n))
+
+    def running(steps: Column, first: Column) -> Column:
+        return F.aggregate(steps, F.struct(first.alias("sum"), empty.alias("all")), lambda a, n: F.struct((a["sum"] + n).alias("sum"), F.array_append(a["all"], a["sum"] + n).alias("all")), lambda a: a["all"])
+
+    def joined(parts: Column) -> Column:
+        whole = running(F.transform(parts, lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)), F.lit(0))
+        return _once(whole, lambda w: F.flatten(F.transform(parts, lambda x, i: running(x, F.coalesce(F.get(w, i - 1), F.lit(0))))))
+
+    starts = lambda n: F.transform(F.sequence(F.lit(0), n - 1, F.lit(STEP)), lambda i: F.slice(lengths, i + 1, STEP))
+    return _once(starts(F.size(lengths)), joined)
+
+
+def _pieces(limit: int, overlap: int) -> Column:
+    """array<struct>: every piece of the row's text, from the lengths of the regular expression's matches."""
+    lengths = F.transform(F.regexp_extract_all("classes", F.lit(cut_pattern(limit, overlap)), F.lit(0)), lambda x: F.length(x))
+
+    def piece(ends: Column, b: Column, i: Column) -> Column:
+        before = F.get(ends, i - 1)
+        back = before - overlap
+        tail = F.substr(F.col("classes"), F.greatest(back - 2, F.lit(1)), F.least(back, F.lit(3)))
+        begin = F.when((i == 0) | (back <= 0), F.lit(0)).otherwise(back - F.length(F.regexp_extract(tail, "n*$", 0)))
+        return _once(
+            begin,
+            lambda a: F.struct(
+                i.alias("piece"),
+                F.get("at", a).alias("start_pos"),
+                F.get("at", b).alias("end_pos"),
+                (b - a).alias("tokens"),
+                F.when(i == 0, F.lit(0)).otherwise(before - a).alias("overlap"),
+            ),
+        )
+
+    return _once(_once(lengths, _sums), lambda ends: F.transform(ends, lambda b, i: piece(ends, b, i)))
 
 
 def split_texts(documents: DataFrame, limits: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -140,22 +180,32 @@ def split_texts(documents: DataFrame, limits: DataFrame, path: str = VOCABULARY)
     least = min(limit for _, limit, _ in profiles)
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     classed = texts.mapInArrow(_classify(least, path), _SHAPE)
-    options = [
-        F.when(F.col("n_tokens") > limit, F.struct(F.lit(name).alias("profile"), F.lit(overlap).alias("overlap"), _ends(limit, overlap).alias("ends")))
-        for name, limit, overlap in profiles
-    ]
-    out = classed.select("doc_id", "classes", "at", F.explode(F.array_compact(F.array(*options))).alias("o"))
-    out = out.select("doc_id", "classes", "at", "o.profile", F.col("o.overlap").alias("back"), "o.ends")
-    previous = F.get("ends", F.col("i") - 1) - F.col("back")
-    tail = F.substr(F.col("classes"), F.greatest(previous - 2, F.lit(1)), F.least(previous, F.lit(3)))
-    begin = F.when(F.col("i") == 0, 0).when(previous <= 0, 0).otherwise(previous - F.length(F.regexp_extract(tail, "n*$", 0)))
-    out = out.select("*", F.posexplode("ends").alias("i", "b")).withColumn("a", begin)
-    return out.select(
-        "profile",
-        "doc_id",
-        F.col("i").alias("piece"),
-        F.get("at", F.col("a")).alias("start_pos"),
-        F.get("at", F.col("b")).alias("end_pos"),
-        (F.col("b") - F.col("a")).alias("tokens"),
-        F.when(F.col("i") == 0, 0).otherwise(F.get("ends", F.col("i") - 1) - F.col("a")).alias("overlap"),
+    options = [F.when(F.col("n_tokens") > limit, F.struct(F.lit(name).alias("profile"), _pieces(limit, overlap).alias("pieces"))) for name, limit, overlap in profiles]
+    cut = classed.select("doc_id", F.explode(F.array_compact(F.array(*options))).alias("o"))  # from here on no text and no token
+    return cut.select("o.profile", "doc_id", F.explode("o.pieces").alias("p")).select("profile", "doc_id", *[F.col(f"p.{c}").cast("int").alias(c) for c in ("piece", "start_pos", "end_pos", "tokens", "overlap")])
+
+
+def piece_bounds(pieces: DataFrame, documents: DataFrame, limits: DataFrame) -> DataFrame:
+    """(profile, within_limit, in_order, whole, overlapping) of each profile: what every piece must hold, as all-quantified truths.
+
+    within_limit: no piece has more than max_tokens. in_order: the next piece begins at or before the end of the one before
+    it, and after its begin. whole: each split text is covered from 0 to its length, with pieces numbered from 0.
+    overlapping: two pieces share overlap_tokens tokens, or up to SLACK more, or all tokens before them where there are fewer.
+    """
+    w = Window.partitionBy("profile", "doc_id").orderBy("piece")
+    once = pieces.distinct()
+    seen = once.withColumns({"last_end": F.lag("end_pos").over(w), "last_start": F.lag("start_pos").over(w), "last_tokens": F.lag("tokens").over(w)})
+    ordered = F.col("last_end").isNull() | ((F.col("start_pos") <= F.col("last_end")) & (F.col("start_pos") >= F.col("last_start")) & (F.col("end_pos") > F.col("last_end")))
+    rows = seen.join(F.broadcast(limits.groupBy("profile").agg(F.min(F.struct("max_tokens", "overlap_tokens")).alias("l"))), "profile")
+    shared = (F.col("piece") == 0) | F.col("overlap").between(F.col("l.overlap_tokens"), F.col("l.overlap_tokens") + SLACK) | (F.col("start_pos") == 0)
+    by = rows.groupBy("profile", "doc_id").agg(
+        F.bool_and(F.col("tokens") <= F.col("l.max_tokens")).alias("within_limit"),
+        F.bool_and(ordered).alias("in_order"),
+        F.bool_and(shared).alias("overlapping"),
+        F.min("start_pos").alias("first"),
+        F.max("end_pos").alias("last"),
+        (F.max("piece") + 1 == F.count("*")).alias("numbered"),
     )
+    sizes = documents.groupBy("doc_id").agg(F.min(F.char_length("text")).alias("lo"), F.max(F.char_length("text")).alias("hi"))
+    by = by.join(sizes, "doc_id").withColumn("whole", (F.col("first") == 0) & F.col("last").between(F.col("lo"), F.col("hi")) & F.col("numbered"))
+    return by.groupBy("profile").agg(*[F.bool_and(c).alias(c) for c in ("within_limit", "in_order", "whole", "overlapping")])
