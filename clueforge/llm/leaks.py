@@ -83,6 +83,12 @@ class _Side:
         self.used = np.zeros(len(chars), bool)
         self.jumps = np.concatenate([[0], np.cumsum(jumps if jumps is not None else self.used)])
 
+    def longest(self) -> int:
+        """Length of the longest stretch without a marked character or a jump inside."""
+        free = ~self.used
+        begins = free & np.concatenate([[True], ~free[:-1] | (np.diff(self.jumps)[1:] > 0)])[: len(free)]
+        return int(np.bincount(np.cumsum(begins)[free]).max()) if free.any() else 0
+
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(start, hash) of the windows of n characters without a marked character or a jump inside."""
         marked = np.concatenate([[0], np.cumsum(self.used)])
@@ -93,7 +99,23 @@ class _Side:
         return at, (self.sums[at + n] - self.sums[at]) * self.down[at]
 
 
-def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
+class SortedWindows:
+    """The windows of `least` characters of one document by hash, made once for all items it is tiled with."""
+
+    def __init__(self, doc: np.ndarray, least: int):
+        with np.errstate(over="ignore"):
+            at, h = _Side(doc).windows(least)
+        order = np.argsort(h, kind="stable")
+        self.at, self.h = at[order], h[order]
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """Starts of the windows that have one of the wanted hashes."""
+        once = np.unique(wanted)
+        low, high = np.searchsorted(self.h, once, "left"), np.searchsorted(self.h, once, "right")
+        return np.concatenate([np.empty(0, np.int64), *[self.at[a:b] for a, b in zip(low[high > low], high[high > low])]])
+
+
+def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED, known: SortedWindows | None = None) -> list[tuple[int, int, int]]:
     """(doc start, item start, length) of the tiles, in the order in which they are marked.
 
     The longest common run of unmarked characters is marked on both sides, again and again until none of `least` is left;
@@ -105,26 +127,25 @@ def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[t
         return []
     with np.errstate(over="ignore"):
         right = _Side(item)
-        at, h = _Side(doc).windows(least)
-        touched = np.zeros(len(doc) + 1, np.int64)
-        hit = at[np.isin(h, right.windows(least)[1])]
-        np.add.at(touched, hit, 1)
-        np.add.at(touched, hit + least, -1)
-        keep = np.flatnonzero(np.cumsum(touched[:-1]) > 0)
+        hit = np.sort((known or SortedWindows(doc, least)).of(right.windows(least)[1]))
+        fresh = np.minimum(np.diff(hit, append=hit[-1:] + least), least)  # characters of each window before the next begins
+        keep = np.repeat(hit - np.cumsum(fresh) + fresh, fresh) + np.arange(fresh.sum())
         left = _Side(doc[keep], np.concatenate([[0], np.diff(keep) > 1])[: len(keep)])
-        tiles, most = [], min(len(keep), len(item))
-        while most >= least:
-            met = functools.lru_cache(lambda n: len(np.intersect1d(left.windows(n)[1], right.windows(n)[1])) > 0)  # noqa: B023
-            if not met(least):
+        tiles, most = [], len(item)
+        while (most := min(most, left.longest(), right.longest())) >= least:
+            met = lambda n: np.isin(right.windows(n)[1], left.windows(n)[1]).any()
+            if met(most):
+                low = most
+            elif most == least or not met(least):
                 break
-            low, high = least, most + 1  # a common run of low, none of high
-            step = least
-            while low + step < high and met(low + step):
-                low, step = low + step, step * 2
-            high = min(high, low + step)
-            while high - low > 1:
-                middle = (low + high) // 2
-                low, high = (middle, high) if met(middle) else (low, middle)
+            else:
+                low, high, step = least, most, least  # a common run of low, none of high
+                while low + step < high and met(low + step):
+                    low, step = low + step, step * 2
+                high = min(high, low + step)
+                while high - low > 1:
+                    middle = (low + high) // 2
+                    low, high = (middle, high) if met(middle) else (low, middle)
             (d_at, d_h), (i_at, i_h) = left.windows(low), right.windows(low)
             i = int(i_at[np.isin(i_h, d_h)][0])
             d = int(d_at[d_h == i_h[i_at == i][0]][0])
@@ -144,9 +165,10 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text, items in zip(batch.column(0), batch.column(1), batch.column(2)):
             doc = plain(points([text.as_py()])[0])[0]
+            known = SortedWindows(doc, SEED)
             for item in items.as_py():
                 chars = plain(points([item["item_text"]])[0])[0]
-                if (tiles := greedy_tiles(doc, chars)) and tiles[0][2] >= SURE:
+                if (tiles := greedy_tiles(doc, chars, known=known)) and tiles[0][2] >= SURE:
                     rows.append((doc_id.as_py(), item["item_id"], len(chars), tiles[0][2], sum(n for _, _, n in tiles), len(tiles)))
         columns = zip(*rows) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
