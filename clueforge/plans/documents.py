@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents as o
-from ..session import table
+from ..session import durable, table
 
 ON = ["project_id", "doc_a", "doc_b"]
 
@@ -25,8 +25,8 @@ def similar(spark: SparkSession, folder: str) -> DataFrame:
 
 def findings(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder)
-    similarity = o.similar_documents(docs)
-    shared, segments = o.shared_entities(o.entities(docs)), o.segment_pairs(o.shared_segments(docs))
+    similarity = durable(o.linked_documents(docs), "similar")
+    shared, segments = durable(o.shared_entities(o.entities(docs)), "shared"), durable(o.segment_pairs(o.shared_segments(docs)), "segments")
     pairs = similarity.select(*ON).unionByName(shared.select(*ON)).unionByName(segments.select(*ON)).distinct()
     who = docs.select("doc_id", "bidder_id").distinct()
     named = pairs.join(who.select(F.col("doc_id").alias("doc_a"), F.col("bidder_id").alias("x")), "doc_a").join(who.select(F.col("doc_id").alias("doc_b"), F.col("bidder_id").alias("y")), "doc_b")
@@ -84,6 +84,13 @@ gp AS (SELECT project_id, doc_id, gram, w FROM gn JOIN rp USING (doc_id)),
 sm AS (SELECT x.project_id, x.doc_id AS doc_a, y.doc_id AS doc_b, sum(x.w * y.w) AS similarity FROM gp x JOIN gp y ON x.project_id = y.project_id AND x.gram = y.gram AND x.doc_id < y.doc_id
   GROUP BY ALL HAVING sum(x.w * y.w) >= 0.75),
 """
+#: _SIMILAR, and the pairs of equal texts and of copies.
+_LINKED = _SIMILAR.replace("\nsm AS (", "\nsr AS (") + """
+sc AS (SELECT project_id, doc_a, doc_b, similarity FROM sr UNION ALL SELECT DISTINCT project_id, doc_id, doc_id, 1.0::DOUBLE FROM gp),
+sm AS (SELECT DISTINCT sc.project_id, least(x.doc_id, y.doc_id) AS doc_a, greatest(x.doc_id, y.doc_id) AS doc_b, similarity FROM sc
+  JOIN cp x ON x.project_id = sc.project_id AND x.representative = sc.doc_a JOIN cp y ON y.project_id = sc.project_id AND y.representative = sc.doc_b
+  WHERE sc.doc_a < sc.doc_b OR x.doc_id < y.doc_id),
+"""
 _SEGMENTS = r"""
 sx AS (SELECT doc_id, any_value(t) AS t FROM cx GROUP BY doc_id),
 sw AS (SELECT doc_id, segment, min(start) AS start FROM (SELECT doc_id, start, substr(t, start + 1, 48) AS segment FROM (SELECT doc_id, t, unnest(range(0, length(t) - 47, 16)) AS start FROM sx WHERE length(t) >= 48))
@@ -121,7 +128,7 @@ ORACLE = {
     "docs_template_windows": BASE + _SEGMENTS + _END + "SELECT segment, n AS docs FROM sb WHERE n >= 3",
     "docs_shared_segments": BASE + _SEGMENTS + _END + "SELECT * FROM ss",
     "docs_segments_anywhere": BASE + _SEGMENTS.replace(" AND r.project_id = p.project_id", "") + _CHARS + _END + "SELECT * FROM sg",
-    "docs_findings": BASE + _SIMILAR + _SEGMENTS + _CHARS + r"""
+    "docs_findings": BASE + _LINKED + _SEGMENTS + _CHARS + r"""
 kd AS (SELECT project_id, doc_a, doc_b, count(*) AS kinds, bool_or(kind IN ('phone', 'landline', 'email', 'credit_code')) AS strong,
   sum(CASE kind WHEN 'phone' THEN 20 WHEN 'landline' THEN 20 WHEN 'email' THEN 20 WHEN 'credit_code' THEN 25 WHEN 'contact' THEN 10 ELSE 8 END) AS points FROM se GROUP BY ALL),
 al AS (SELECT project_id, doc_a, doc_b FROM sm UNION SELECT project_id, doc_a, doc_b FROM kd UNION SELECT project_id, doc_a, doc_b FROM sg),
