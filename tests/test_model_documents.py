@@ -57,3 +57,23 @@ def test_registered_model_reads_documents(spark, tmp_path):
     assert got == {("p", "b0", "b1"): 0.0, ("r", "b5", "b6"): 1.0}
     sums = QUERIES["model_benchmark"](spark, str(tmp_path)).where("transform = 'nothing'").agg({"rows": "sum", "similarity": "sum"}).first()
     assert sums["sum(rows)"] == 2 and sums["sum(similarity)"] == pytest.approx(0.08 + 0.3)
+
+
+def test_fit_takes_exact_medians(spark):
+    import random
+    import statistics
+
+    from clueforge.schemas import MAD_TO_SIGMA, MODEL_FEATURES
+
+    rnd = random.Random(4)
+    rows = [(n % 2, *[round(rnd.random() ** 3, 9) if k < 2 else float(rnd.random() < 0.5) if k == 2 else 0.0 for k in range(len(MODEL_FEATURES))]) for n in range(30_000)]
+    df = spark.createDataFrame(rows, "part int, " + ", ".join(f"{f} double" for f in MODEL_FEATURES)).repartition(5)
+    for by in ((), ("part",)):
+        got = {(*[r[b] for b in by], r["feature"]): r for r in m.fit(df, *by).collect()}
+        assert len(got) == len(MODEL_FEATURES) * (2 if by else 1)
+        for key, r in got.items():
+            values = [x[1 + list(MODEL_FEATURES).index(key[-1])] for x in rows if not by or x[0] == key[0]]
+            middle = statistics.median(values)
+            mad = statistics.median(abs(v - middle) for v in values) * MAD_TO_SIGMA
+            assert r["median"] == pytest.approx(middle, abs=1e-15)
+            assert r["scale"] == pytest.approx(mad if mad >= 0.01 else max(statistics.pstdev(values), 1.0))
