@@ -77,3 +77,66 @@ def test_fit_takes_exact_medians(spark):
             mad = statistics.median(abs(v - middle) for v in values) * MAD_TO_SIGMA
             assert r["median"] == pytest.approx(middle, abs=1e-15)
             assert r["scale"] == pytest.approx(mad if mad >= 0.01 else max(statistics.pstdev(values), 1.0))
+
+
+def matrix_rows(seed=7, n=600):
+    import random
+
+    from clueforge.schemas import MODEL_FEATURES
+
+    rnd = random.Random(seed)
+    value = lambda k: rnd.choice([0.0, 0.066, rnd.random() ** 2]) if not k else rnd.choice([1.0, rnd.random() * 30]) if rnd.random() < (0.6 if k in (4, 11) else 0.1) else 0.0
+    return [(f"p{i % 11:02}", f"a{i}", f"b{i}", *[value(k) for k in range(len(MODEL_FEATURES))]) for i in range(n)]
+
+
+def plain_model(rows):
+    import statistics
+
+    from clueforge.schemas import MAD_TO_SIGMA
+
+    out = []
+    for values in zip(*[r[3:] for r in rows]):
+        middle = statistics.median(values)
+        mad = statistics.median(abs(v - middle) for v in values) * MAD_TO_SIGMA
+        out.append((middle, mad if mad >= 0.01 else max(statistics.pstdev(values), 1.0)))
+    return out
+
+
+def plain_score(row, model):
+    from clueforge.schemas import MODEL_FEATURES
+
+    return round(100 * (1 - math.exp(-sum(w * max((v - a) / b, 0) for v, (a, b), w in zip(row[3:], model, MODEL_FEATURES.values())) / 5)), 4)
+
+
+def plain_threshold(scores):
+    s, at = sorted(scores), 0.95 * (len(scores) - 1)
+    low = int(at)
+    return max(40.0, s[low] + (s[min(low + 1, len(s) - 1)] - s[low]) * (at - low))
+
+
+def test_folds_and_evaluation_count_rows_without_repeating_them(spark, monkeypatch):
+    from clueforge.schemas import MODEL_FEATURES
+
+    rows = matrix_rows()
+    df = spark.createDataFrame(rows, "project_id string, bidder_a string, bidder_b string, " + ", ".join(f"{f} double" for f in MODEL_FEATURES)).repartition(3)
+    monkeypatch.setattr(m, "UNIT", 5)  # few buckets, divided until they are values
+    monkeypatch.setattr(m, "DIVIDED", 40)
+    monkeypatch.setattr(m, "LISTED", 9)
+    got = {r["fold"]: r for r in m.cross_validate(df, 2).collect()}
+    for fold in (0, 1):
+        train, test = ([r for r in rows if (int(r[0][1:]) % 2 == fold) is own] for own in (False, True))
+        model = plain_model(train)
+        limit = plain_threshold([plain_score(r, model) for r in train])
+        r = got[fold]
+        assert (r["train"], r["test"]) == (len(train), len(test)) and r["threshold"] == pytest.approx(limit, abs=2e-4)
+        assert r["flagged"] == sum(plain_score(t, model) >= limit for t in test)
+    alike = m.counted_benchmark(df)
+    assert alike.agg({"n": "sum"}).first()[0] == len(rows) * len(m.TRANSFORMS) > 2 * alike.count()
+    made = [(r["split"], r["transform"], r["label"], "", "", *[r[f] for f in MODEL_FEATURES]) for r in m.benchmark(df).collect()]
+    train = [r[2:] for r in made if r[0] == "train" and not r[2]]
+    model = plain_model(train)
+    limit = plain_threshold([plain_score(r, model) for r in train])
+    ev = {r["transform"]: r for r in m.evaluate(df).collect()}
+    for name, label, _ in m.TRANSFORMS:
+        flags = [plain_score(r[2:], model) >= limit for r in made if r[0] == "test" and r[1] == name]
+        assert (ev[name]["tp"] + ev[name]["fp"], ev[name]["fn"] + ev[name]["tn"]) == (sum(flags), len(flags) - sum(flags)), (name, label)
