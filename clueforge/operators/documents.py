@@ -276,7 +276,8 @@ def shared_segments(documents: DataFrame, same_project: bool = True) -> DataFram
     two = two.join(place.withColumnRenamed("doc_id", "doc_a"), "doc_a").join(place.select(F.col("doc_id").alias("doc_b"), F.col("project_id").alias("other")), "doc_b")
     if same_project:
         two = two.where("project_id = other")
-    heads = by.where(F.col("n") >= TEMPLATE_DF).select(F.substring("segment", 1, PREFIX).alias("part")).distinct()
+    heads = durable(by.where(F.col("n") >= TEMPLATE_DF).select(F.substring("segment", 1, PREFIX).alias("part")).distinct(), "heads")
+    heads = broadcast_if(heads, heads.count(), 200_000)  # each window has 25 parts; while heads fit, they stay where they are made
     parts = two.select("segment", F.explode(F.transform(F.sequence(F.lit(1), F.lit(SEGMENT - PREFIX + 1)), lambda i: F.substr(F.col("segment"), i, F.lit(PREFIX)))).alias("part"))
     bad = parts.join(heads, "part", "left_semi").select("segment").distinct()
     return two.join(bad, "segment", "left_anti").select("project_id", "doc_a", "doc_b", "segment", "start_a", "start_b")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents as o
-from ..session import durable, table
+from ..session import durable, release, table
 
 ON = ["project_id", "doc_a", "doc_b"]
 
@@ -25,8 +25,11 @@ def similar(spark: SparkSession, folder: str) -> DataFrame:
 
 def findings(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder)
-    similarity = durable(o.linked_documents(docs), "similar")
-    shared, segments = durable(o.shared_entities(o.entities(docs)), "shared"), durable(o.segment_pairs(o.shared_segments(docs)), "segments")
+    made = []
+    for label, make in (("similar", o.linked_documents), ("shared", lambda d: o.shared_entities(o.entities(d))), ("segments", lambda d: o.segment_pairs(o.shared_segments(d)))):
+        made.append(durable(make(docs), label))
+        release(spark)  # texts and windows that were shuffled for one part are gone before the next
+    similarity, shared, segments = made
     pairs = similarity.select(*ON).unionByName(shared.select(*ON)).unionByName(segments.select(*ON)).distinct()
     who = docs.select("doc_id", "bidder_id").distinct()
     named = pairs.join(who.select(F.col("doc_id").alias("doc_a"), F.col("bidder_id").alias("x")), "doc_a").join(who.select(F.col("doc_id").alias("doc_b"), F.col("bidder_id").alias("y")), "doc_b")

@@ -54,3 +54,22 @@ def test_only_the_whole_subpackage_may_be_absent(monkeypatch, missing, silent):
     else:
         with pytest.raises(ModuleNotFoundError):
             entry._modules()
+
+
+def test_shuffle_files_are_released_between_parts(spark):
+    import time
+
+    from clueforge.session import durable, release
+
+    files = lambda: sum(1 for p in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in p)
+    release(spark)
+    time.sleep(2)
+    before = files()
+    written = durable(spark.range(20_000).selectExpr("id", "repeat('x', 50) as t").repartition(3, "id"), "released")
+    assert files() > before
+    for _ in range(20):
+        release(spark)
+        time.sleep(0.5)
+        if files() <= before:
+            break
+    assert files() <= before and written.count() == 20_000
